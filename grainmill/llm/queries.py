@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, mpeg_audio, token_counts
+from grainmill.llm import mixing, mpeg_audio, simhash_pivots, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -28,12 +28,16 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mpeg_audio, op8_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op5_mpeg_audio, op8_mix, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
