@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, mpeg_audio, simhash_pivots, token_counts
+from grainmill.llm import containment, mixing, mpeg_audio, simhash_pivots, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_us", "crc_bad")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mpeg_audio, op8_mix, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": mixing.ORACLE}
+    return {"op7_decontaminate": containment.ORACLE, "op8_mix": mixing.ORACLE}
