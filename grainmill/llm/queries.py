@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import containment, mixing, mpeg_audio, simhash_pivots, token_counts
+from grainmill.llm import containment, mixing, mpeg_audio, simhash_pivots, token_counts, token_tables
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables.tokens_on_disk(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg_audio.read_audio(mpeg_audio.add_audio(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_us", "crc_bad")
@@ -41,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op4_token_tables, op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
