@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grainmill.llm import containment, mixing, mpeg_audio, simhash_pivots, token_counts, token_tables
+from grainmill.llm import containment, language_id, mixing, mpeg_audio, simhash_pivots, token_counts, token_tables
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", (~language_id.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.tokens_on_disk(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -45,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_tables, op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op4_token_tables, op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
