@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import containment, language_id, mixing, mpeg_audio, simhash_pivots, token_counts, token_tables
+from grainmill.llm import containment, language_id, mixing, mpeg_audio, simhash_pivots, token_counts, token_tables, url_rules
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~language_id.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.apply_rules(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
 def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.tokens_on_disk(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -52,8 +56,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_token_tables, op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_url_rules, op4_token_tables, op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": containment.ORACLE, "op8_mix": mixing.ORACLE}
+    return {"op3_url_rules": url_rules.ORACLE, "op7_decontaminate": containment.ORACLE, "op8_mix": mixing.ORACLE}
