@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes an Arrow batch may hold, so that a worker's memory doesn't follow the text length.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def session(df: DataFrame) -> SparkSession:

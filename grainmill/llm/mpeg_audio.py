@@ -211,20 +211,38 @@ def describe(found: dict) -> str:
     )
 
 
-def add_audio(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every whole text, null as empty, as UTF-8 with spaces up to a positive multiple of 192, stored."""
+FEATURES = "frames bigint, samples bigint, duration_us bigint, rate int, channels int, kbit_min int, kbit_max int, crc_checked bigint, crc_bad bigint, skipped bigint, vbr_frames bigint, vbr_bytes bigint, id3v1 boolean, tags map<string,string>, seek array<bigint>, feature string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            media = [encode(r + b" " * (-len(r) % UNIT or UNIT * (not r))) for r in raw]
-            yield pa.record_batch([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["__id", "n_bytes", "media"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return map_rows(docs, [field(docs, id_column).alias("__id"), field(docs, text_column).cast("string").alias("__text")], run, f"__id {kind}, n_bytes bigint, media binary").withColumnRenamed("__id", id_column)
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, n_bytes, media)."""
+    for batch in batches:
+        raw = [(t.as_py() or "").encode() for t in batch.column(1)]
+        media = [encode(r + b" " * (-len(r) % UNIT or UNIT * (not r))) for r in raw]
+        yield pa.record_batch([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["__k0", "__k1", "media"])
 
 
-FEATURES = "frames bigint, samples bigint, duration_us bigint, rate int, channels int, kbit_min int, kbit_max int, crc_checked bigint, crc_bad bigint, skipped bigint, vbr_frames bigint, vbr_bytes bigint, id3v1 boolean, tags map<string,string>, seek array<bigint>, feature string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+def _understood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(any columns, media) to (those columns, what the reader finds)."""
+    wide, i32, text = pa.int64(), pa.int32(), pa.string()
+    types = {"frames": wide, "samples": wide, "duration_us": wide, "rate": i32, "channels": i32, "kbit_min": i32, "kbit_max": i32, "crc_checked": wide, "crc_bad": wide, "skipped": wide, "vbr_frames": wide, "vbr_bytes": wide, "id3v1": pa.bool_(), "tags": pa.map_(text, text), "seek": pa.list_(wide), "feature": text, "payload_bytes": wide, "payload_sha256": text, "tail_crc32": wide, "media_bytes": wide, "media_sha256": text}
+    for batch in batches:
+        rows = []
+        for data in batch.column(batch.num_columns - 1):
+            data = data.as_py() or b""
+            found = read(data, keep_bodies=True)
+            payload, vbr = payload_of(found), found["vbr"] or {}
+            row = found | {"vbr_frames": vbr.get("frames"), "vbr_bytes": vbr.get("bytes"), "tags": list(found["tags"].items()), "feature": describe(found), "bodies": None}
+            row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+            rows.append(row)
+        yield pa.record_batch([*batch.columns[:-1], *(pa.array([r[k] for r in rows], t) for k, t in types.items())], names=[*(f"__k{i}" for i in range(batch.num_columns - 1)), *types])
+
+
+def add_audio(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_bytes, media): every whole text, null as empty, as UTF-8 with spaces up to a positive multiple of 192, stored."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    out = map_rows(docs, [field(docs, id_column).alias("__k0"), field(docs, text_column).cast("string").alias("__text")], _stored, f"__k0 {kind}, __k1 bigint, media binary")
+    return out.withColumnsRenamed({"__k0": id_column, "__k1": "n_bytes"})
 
 
 def read_audio(media: DataFrame, *, media_column: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -234,26 +252,14 @@ def read_audio(media: DataFrame, *, media_column: str = "media", keep: list[str]
     rate and channels null, the hashes those of no bytes. Equal bytes give equal values.
     """
     keep = [c for c in media.columns if c != media_column] if keep is None else keep
+    kinds = [f"__k{i} {media.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    out = map_rows(media, [*(field(media, c).alias(f"__k{i}") for i, c in enumerate(keep)), field(media, media_column).alias("__m")], _understood, ", ".join([*kinds, FEATURES]))
+    return out.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keep)})
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
-        for batch in batches:
-            rows = []
-            for data in batch.column(len(keep)):
-                data = data.as_py() or b""
-                found = read(data, keep_bodies=True)
-                payload, vbr = payload_of(found), found["vbr"] or {}
-                row = {k: found[k] for k in ("frames", "samples", "duration_us", "rate", "channels", "kbit_min", "kbit_max", "crc_checked", "crc_bad", "skipped", "id3v1", "seek")}
-                row |= {"vbr_frames": vbr.get("frames"), "vbr_bytes": vbr.get("bytes"), "tags": list(found["tags"].items()), "feature": describe(found)}
-                row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
-                rows.append(row)
-            if types is None:
-                wide, i32 = pa.int64(), pa.int32()
-                types = {"frames": wide, "samples": wide, "duration_us": wide, "rate": i32, "channels": i32, "kbit_min": i32, "kbit_max": i32, "crc_checked": wide, "crc_bad": wide, "skipped": wide, "vbr_frames": wide, "vbr_bytes": wide, "id3v1": pa.bool_(), "tags": pa.map_(pa.string(), pa.string()), "seek": pa.list_(wide), "feature": pa.string(), "payload_bytes": wide, "payload_sha256": pa.string(), "tail_crc32": wide, "media_bytes": wide, "media_sha256": pa.string()}
-            yield pa.record_batch([*batch.columns[: len(keep)], *(pa.array([r[k] for r in rows], t) for k, t in types.items())], names=[*(f"__k{i}" for i in range(len(keep))), *types])
-
-    kinds = ", ".join(f"__k{i} {media.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = map_rows(media, [*(field(media, c).alias(f"__k{i}") for i, c in enumerate(keep)), field(media, media_column).alias("__m")], run, f"{kinds}, {FEATURES}" if keep else FEATURES)
-    for i, c in enumerate(keep):
-        out = out.withColumnRenamed(f"__k{i}", c)
-    return out
+def stored_and_read(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """read_audio(add_audio(docs)) with both steps in one worker: the stored bytes exist for a batch at a time."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    columns = [field(docs, id_column).alias("__k0"), field(docs, text_column).cast("string").alias("__text")]
+    out = map_rows(docs, columns, lambda batches: _understood(_stored(batches)), f"__k0 {kind}, __k1 bigint, {FEATURES}")
+    return out.withColumnsRenamed({"__k0": id_column, "__k1": "n_bytes"})
