@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import containment, language_id, mixing, mpeg_audio, simhash_pivots, token_counts, token_tables, url_rules
+from grainmill.llm import containment, html_text, language_id, line_dedup, mixing, mpeg_audio, simhash_pivots, token_counts, token_tables, url_rules
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs))
@@ -39,6 +43,10 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_us", "crc_bad")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_url_rules, op4_token_tables, op5_mpeg_audio, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_url_rules, op4_token_tables, op5_mpeg_audio, op6_main_text, op7_decontaminate, op8_mix, op9_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
