@@ -15,6 +15,7 @@ cosine 0.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from grainmill.llm.common import field, map_rows, session
 
 DIMENSIONS, BITS = 4096, 12
-SAMPLE, CLUSTERS, SLACK, SHORT = 4000, 4, 0.5, 200
+SAMPLE, CLUSTERS, SLACK, SHORT = 2000, 4, 0.5, 200
 #: Bytes of text turned into counts at a time.
 SEGMENT = 4 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -168,31 +168,32 @@ def learnable(id_column: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
-    """Learns from text and non-null language of learnable rows with a letter; at most ``sample`` rows reach the driver, as counts of a fixed size."""
+    """Learns from text and non-null language of learnable rows with a letter; about twice ``sample`` rows reach the driver, as counts of a fixed size, and ``sample`` are used."""
     session(docs)
     ident = field(docs, id_column)
     rows = docs.where(learnable(ident) & field(docs, lang_column).isNotNull() & field(docs, text_column).cast("string").rlike(r"\p{L}"))
-    light = rows.select(field(docs, lang_column).cast("string").alias("l"), F.md5(F.coalesce(ident.cast("string"), F.lit(""))).alias("h"))
-    languages = light.select("l").distinct().count()
-    if not languages:
+    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("")))
+    rows = rows.select(field(docs, lang_column).cast("string").alias("l"), digest.alias("h"), field(docs, text_column).cast("string").alias("t"))
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return fit_rows([])
-    each = max(2, sample // languages)
-    # per language the smallest hashes: the first ``each`` of every hash interval, then of the language; no language meets in one task whole
-    light = light.withColumn("b", F.substring("h", 1, 2))
-    first = light.withColumn("n", F.row_number().over(W.partitionBy("l", "b").orderBy("h"))).where(F.col("n") <= each)
-    first = first.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("n") <= each)
-    cuts = first.groupBy("l").agg(F.max("h").alias("cut"))
-    chosen = rows.select(field(docs, lang_column).cast("string").alias("l"), F.md5(F.coalesce(ident.cast("string"), F.lit(""))).alias("h"), field(docs, text_column).cast("string").alias("t"))
-    chosen = chosen.join(F.broadcast(cuts), "l").where("h <= cut")  # a row for each language, each hash once: repeated ids alone go beyond ``each``
+    each = max(2, sample // len(sizes))
+    # the smallest hashes of a language lie below this share of the hash space, with room for chance: no sort, no window
+    below = {lang: min(1 << 32, ((2 * each + 64) << 32) // n) for lang, n in sizes.items()}
+    bound = F.element_at(F.create_map(*(F.lit(x) for pair in below.items() for x in pair)), F.col("l"))
+    chosen = rows.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") < bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = np.minimum(counts(batch.column(2).to_pylist()), 65535).astype(np.uint16)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], names=["l", "h", "c"])
 
-    found = sorted((r.l, r.h, bytes(r.c)) for r in map_rows(chosen, ["l", "h", "t"], run, "l string, h string, c binary").orderBy("h").limit(2 * sample).collect())
-    if not found:
-        return fit_rows([])
+    found, taken = [], Counter()
+    for r in sorted(map_rows(chosen, ["l", "h", "t"], run, "l string, h string, c binary").collect(), key=lambda r: (r.h, r.l, bytes(r.c))):
+        if taken[r.l] < each:
+            taken[r.l] += 1
+            found.append((r.l, r.h, bytes(r.c)))
+    found.sort()
     raw = np.stack([np.frombuffer(c, np.uint16) for _, _, c in found]).astype(np.float32)
     return _fit(np.array([lang for lang, _, _ in found]), raw, clusters)
 
