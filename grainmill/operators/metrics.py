@@ -37,7 +37,8 @@ def ambiguity(rows: DataFrame, observation: str, gold: str) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
     """One column for each percent: the smallest value with at least that share of rows at or below it."""
-    return rows.agg(*(F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in percents))
+    kind = rows.schema[value].dataType
+    return rows.agg(*(F.expr(f"percentile_disc({p / 100}) within group (order by {value})").cast(kind).alias(f"p{p}") for p in percents))
 
 
 def latency_summary(rows: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:

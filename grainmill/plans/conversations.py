@@ -162,7 +162,7 @@ ORACLES = {
     "trainable_conversations": "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'user') AND arg_max(role, turn) = 'assistant' AND length(trim(arg_max(text, turn))) > 0",
     "context_fit": f"WITH {_D}, s AS (SELECT conv_id, max(strlen(prompt) + strlen(coalesce(text, ''))) AS n FROM d WHERE role = 'assistant' GROUP BY conv_id) SELECT count(*) FILTER (n <= 2048) AS kept, count(*) FILTER (n > 2048) AS oversize, max(n) AS longest FROM s",
     "structural_recovery": r"WITH f AS (SELECT conv_id, min(turn) FILTER (regexp_matches(text, '\bthe\b')) AS first, max(turn) FILTER (role = 'assistant') AS last FROM conversations GROUP BY conv_id) SELECT conv_id, coalesce(last > first, false) AS recovers FROM f",
-    "task_projection": "WITH a AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS at FROM conversations GROUP BY conv_id) SELECT conv_id, sha256(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn < at), '')) AS observation, sha256(any_value(text) FILTER (turn = at)) AS gold FROM conversations JOIN a USING (conv_id) WHERE at IS NOT NULL GROUP BY conv_id",
+    "task_projection": "WITH a AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS t0 FROM conversations GROUP BY conv_id) SELECT conv_id, sha256(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn < t0), '')) AS observation, sha256(any_value(text) FILTER (turn = t0)) AS gold FROM conversations JOIN a USING (conv_id) WHERE t0 IS NOT NULL GROUP BY conv_id",
     "hash_bucket_split": f"SELECT DISTINCT conv_id, CASE WHEN {_B} < 20 THEN 'eval' ELSE 'train' END AS split FROM conversations",
     "split_leakage": f"WITH s AS ({_SEM}), l AS (SELECT DISTINCT h FROM s WHERE {_B} < 80), r AS (SELECT DISTINCT h FROM s WHERE {_B} >= 80) SELECT (SELECT count(*) FROM l) AS \"left\", (SELECT count(*) FROM r) AS \"right\", (SELECT count(*) FROM l SEMI JOIN r USING (h)) AS shared",
     "turn_text_leakage": f"WITH l AS (SELECT DISTINCT text FROM conversations WHERE {_B} < 80), r AS (SELECT DISTINCT text FROM conversations WHERE {_B} >= 80) SELECT (SELECT count(*) FROM l) AS \"left\", (SELECT count(*) FROM r) AS \"right\", (SELECT count(*) FROM l SEMI JOIN r USING (text)) AS shared",

@@ -217,7 +217,7 @@ ORACLES = {
     "exact_dedup_aliases": f"WITH {REASONS}, g AS (SELECT digest, source, count(*) AS n, min(doc_id) AS k FROM reasons WHERE reason = '' GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY k, source) AS r FROM g) SELECT digest, source, n - (r = 1)::INT AS occurrences FROM h WHERE n - (r = 1)::INT > 0",
     "cross_source_dedup": f"WITH {REASONS}, k AS (SELECT source FROM reasons QUALIFY row_number() OVER (PARTITION BY digest ORDER BY regexp_extract(source, '[0-9]+')::INT, doc_id) = 1) SELECT source, count(*) AS n FROM k GROUP BY source",
     "source_counts_bounded": "WITH f AS (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 8) SELECT CASE WHEN source IN (FROM f) THEN source ELSE '__other__' END AS source, count(*) AS n FROM documents GROUP BY 1",
-    "privacy_reasons": r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:[0-9][ -]?){12,18}[0-9]+')) AS m FROM documents),
+    "privacy_reasons": r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:[0-9][ -]?){12,18}[0-9])(?:[^0-9]|$)', 1)) AS m FROM documents),
 e AS (SELECT doc_id, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM c), l AS (SELECT doc_id FROM e WHERE length(g) BETWEEN 13 AND 19 AND len(list_distinct(string_split(g, ''))) > 1
   AND list_sum(list_transform(range(1, length(g) + 1), lambda k: CASE WHEN (k - 1) % 2 = length(g) % 2 THEN CASE WHEN g[k]::INT > 4 THEN g[k]::INT * 2 - 9 ELSE g[k]::INT * 2 END ELSE g[k]::INT END)) % 10 = 0),
 r AS (SELECT 'email' AS reason FROM documents WHERE regexp_matches(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?:[^A-Z0-9.-]|$)')
@@ -244,4 +244,5 @@ OR regexp_matches(text[1:16384], '(?m)^\s*(def|class|import|from|function|interf
     "weighted_draws": "WITH c AS (SELECT lang, sum(count(*)) OVER (ORDER BY lang) / sum(count(*)) OVER ()::DOUBLE AS hi, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT lang, hi, coalesce(lag(hi) OVER (ORDER BY lang), 0) AS lo FROM c), d AS (SELECT ('0x' || substr(sha256('23:' || range), 1, 8))::BIGINT / 4294967296 AS u FROM range(1000)) SELECT lang, count(*) AS n FROM d JOIN t ON u >= lo AND u < hi GROUP BY lang",
     "derived_corpora": "SELECT CASE WHEN source IN ('src0', 'src1') THEN 'a' ELSE 'b' END AS corpus, lang, count(*) AS n FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4') GROUP BY 1, 2",
     "set_fingerprint": "WITH h AS (SELECT DISTINCT sha256(doc_id::VARCHAR) AS h FROM documents), l AS (SELECT substr(h, 1, 2) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS count, sha256(string_agg(d, chr(10) ORDER BY g)) AS fingerprint FROM l",
+    "multiset_fingerprint": "WITH h AS (SELECT sha256(text) AS h FROM documents), w AS (SELECT " + ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS w{k}" for k in range(8)) + " FROM h) SELECT count(*) AS count, " + " || ".join(f"printf('%016x', sum(w{k})::BIGINT)" for k in range(8)) + " AS sum, " + " || ".join(f"printf('%08x', bit_xor(w{k}))" for k in range(8)) + " AS xor FROM w",
 }

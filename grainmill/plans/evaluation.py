@@ -65,9 +65,9 @@ def ratio_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weighted_loss(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select("l_shipmode" if "l_shipmode" in table(spark, sf, "lineitem").columns else "l_returnflag", F.col("l_discount").cast("double").alias("loss"), F.col("l_quantity").cast("double").alias("tokens"))
-    group = rows.columns[0]
-    return rows.groupBy(F.col(group).alias("source")).agg(F.round(F.try_divide(F.sum(F.col("loss") * F.col("tokens")), F.sum("tokens")), 9).alias("loss"))
+    """A loss per row, weighted by its tokens: discount and quantity stand for them."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_discount").cast("double").alias("loss"), F.col("l_quantity").cast("double").alias("tokens"))
+    return rows.groupBy("source").agg(F.round(F.try_divide(F.sum(F.col("loss") * F.col("tokens")), F.sum("tokens")), 9).alias("loss"))
 
 
 def quality_label_floor(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +111,8 @@ def _by_user():
 
 
 def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 3, 40).alias("b"))
+    rows = table(spark, sf, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+    rows = rows.select("item_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 3, 40).alias("b"))
     return rows.select("item_id", F.round(metrics.text_similarity(F.col("a"), F.col("b"), 0.5), 6).alias("score"))
 
 
@@ -158,13 +159,14 @@ ORACLES = {
     "paired_arms": f"WITH {_A}, l AS (SELECT event_type, avg(ms) AS x FROM a WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT event_type, avg(ms) AS y FROM a WHERE event_id % 2 = 1 GROUP BY 1), d AS (SELECT y - x AS d FROM l JOIN r USING (event_type)) SELECT count(*) AS n, round(avg(d), 6) AS mean_delta, avg((d > 0)::INT) AS wins, avg((d = 0)::INT) AS ties FROM d",
     "seed_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS sd, round(stddev_samp(value) / sqrt(count(value)), 6) AS se FROM events GROUP BY event_type",
     "ratio_by_group": "SELECT l_returnflag, round(sum(l_extendedprice::DOUBLE) / sum(l_quantity::DOUBLE), 6) AS ratio, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ())",
+    "weighted_loss": "SELECT l_returnflag AS source, round(sum(l_discount::DOUBLE * l_quantity::DOUBLE) / sum(l_quantity::DOUBLE), 9) AS loss FROM lineitem GROUP BY 1",
     "quality_label_floor": "WITH c AS (SELECT lang, quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY lang)::BIGINT AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, quality) AS k FROM c) SELECT lang, quality, n, total, n / total::DOUBLE AS rate FROM t WHERE k = 1",
     "chance_baseline": "WITH s AS (SELECT lang, count(DISTINCT source) AS k FROM documents GROUP BY lang) SELECT round(avg(1.0::DOUBLE / k), 9) AS chance, min(k) AS least, max(k) AS most FROM documents JOIN s USING (lang)",
     "multiset_f1": "WITH l AS (SELECT user_id, event_type, count(*) AS p FROM events WHERE event_id % 2 = 0 GROUP BY ALL), r AS (SELECT user_id, event_type, count(*) AS r FROM events WHERE event_id % 2 = 1 GROUP BY ALL), s AS (SELECT sum(p)::BIGINT AS predicted, sum(r)::BIGINT AS reference, sum(least(coalesce(p, 0), coalesce(r, 0)))::BIGINT AS shared FROM l FULL JOIN r USING (user_id, event_type)) SELECT *, round(shared / predicted::DOUBLE, 9) AS precision, round(shared / reference::DOUBLE, 9) AS recall, round(2 * shared / (predicted + reference)::DOUBLE, 9) AS f1 FROM s",
     "coverage_check": "WITH e AS (SELECT DISTINCT user_id, event_type, 1 AS e FROM events WHERE user_id % 3 <> 0), f AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id % 5 <> 0 GROUP BY ALL) SELECT count(*) FILTER (n > 1) AS duplicates, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected FROM e FULL JOIN f USING (user_id, event_type)",
     "category_means": f"WITH {_A}, c AS (SELECT success::INT AS v, unnest([event_type, CASE WHEN valid THEN 'valid' ELSE 'invalid' END, 'ALL_CATEGORIES']) AS category FROM a) SELECT category, count(*) AS n, round(avg(v), 9) AS mean, round(avg((v = 1)::INT), 9) AS exact FROM c GROUP BY category",
     "error_buckets": "WITH l AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS said FROM events) SELECT CASE WHEN said IS NULL THEN 'parse_fail' WHEN said = event_type THEN 'correct_name' WHEN said IN ('view', 'click') THEN 'wrong_in_catalog' ELSE 'out_of_catalog' END AS bucket, count(*) AS n FROM l GROUP BY 1",
-    "text_similarity": "WITH t AS (SELECT item_id, substr(text, 1, 40) AS a, substr(text, 3, 40) AS b FROM benchmark), s AS (SELECT item_id, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS s FROM t) SELECT item_id, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 6) AS score FROM s",
+    "text_similarity": "WITH t AS (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40) AS a, substr(regexp_replace(text, '[^ -~]', '', 'g'), 3, 40) AS b FROM benchmark), s AS (SELECT item_id, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS s FROM t) SELECT item_id, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 6) AS score FROM s",
     "metadata_profile": "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1",
     "cosine_top": f"WITH {_TOP} SELECT query, vec_id, score, rank FROM k WHERE rank <= 5",
     "recall_at_k": f"WITH {_TOP}, m AS (SELECT query, min(rank) FILTER (label = own AND rank <= 16) AS r FROM k GROUP BY query) SELECT count(*) AS n, round(avg((coalesce(r, 99) <= 1)::INT), 9) AS recall_1, round(avg((coalesce(r, 99) <= 4)::INT), 9) AS recall_4, round(avg((coalesce(r, 99) <= 8)::INT), 9) AS recall_8, round(avg((coalesce(r, 99) <= 16)::INT), 9) AS recall_16, round(avg(coalesce(1.0::DOUBLE / r, 0)), 9) AS mrr FROM m",
