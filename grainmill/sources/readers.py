@@ -45,7 +45,7 @@ def file_documents(spark: SparkSession, path: str, *, max_bytes: int = 8 << 20)
     """Whole files as documents, decoded with replacement characters; the path is source and id."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(TEXT_SUFFIXES)).load(path)
     size = F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(F.raise_error(F.lit("a file is larger than allowed")).cast("binary"))
-    return rows.select(F.decode(size, "UTF-8").alias("text"), F.col("path").alias("source"), F.col("path").alias("doc_id"), F.lit("unknown").alias("license"), F.lit("{}").alias("meta"))
+    return rows.select(F.make_valid_utf8(size.cast("string")).alias("text"), F.col("path").alias("source"), F.col("path").alias("doc_id"), F.lit("unknown").alias("license"), F.lit("{}").alias("meta"))
 
 
 def documents(spark: SparkSession, path: str, *, max_bytes: int = 8 << 20) -> DataFrame:
