@@ -52,6 +52,18 @@ def map_rows(df: DataFrame, columns: list, fn: Callable[[Iterator[pa.RecordBatch
     return df.select(*columns).mapInArrow(fn, schema)
 
 
+def kept_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """All columns, whatever their names, of the rows for whose value in ``column`` keep gives True; keep sees a batch at a time."""
+    session(df)
+    at, plain = df.columns.index(column), df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def field(df: DataFrame, name: str):
     """A column by its exact name, whatever characters the name has."""
     return F.col("`" + name.replace("`", "``") + "`")

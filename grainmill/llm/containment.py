@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import field, session
+from grainmill.llm.common import field, kept_rows, session
 
 BLOCK_BYTES = 16 << 20
 #: ASCII letters, digits and every byte of a character beyond ASCII stay.
@@ -129,15 +129,8 @@ def find(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_c
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of docs, all their columns, that hold no item; null texts stay."""
-    at = docs.columns.index(text_column)
     for index in _indexes(items, item_column, item_text, _share(threshold), width):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            for batch in batches:
-                yield batch.filter(pa.array([not own.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = kept_rows(docs, text_column, lambda texts, index=index: [not index.value.matches(t) for t in texts])
     return docs
 
 

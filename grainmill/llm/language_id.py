@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import field, map_rows, session
+from grainmill.llm.common import field, kept_rows, map_rows, session
 
 DIMENSIONS, BITS = 4096, 12
 SAMPLE, CLUSTERS, SLACK, SHORT = 2000, 4, 0.5, 200
@@ -217,11 +217,5 @@ def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_co
 
 def known_language(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
     """The rows of docs, all their columns, that the model doesn't reject."""
-    session(docs)
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not r for r in shared.value.predict(batch.column(at).to_pylist())[2]], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text_column, lambda texts: [not r for r in shared.value.predict(texts)[2]])
