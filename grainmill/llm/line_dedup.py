@@ -114,6 +114,8 @@ def repeated_units(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     found = written(found.mapInArrow(_texts, f"i {kind}, v bigint, first int, lines int, h bigint, bytes binary"), "line-candidates")
     place = F.struct("i", "v", "first")
     equal = found.groupBy("h", "bytes").agg(F.min(place).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "bytes", "stays")
+    # as a table, so that both sides of the join are plain shuffles and Spark can split a passage that very many rows share
+    equal = written(equal, "line-classes")
     return found.join(equal, ["h", "bytes"]).where(~place.eqNullSafe(F.col("stays"))).select("i", "v", "first", "lines")
 
 
