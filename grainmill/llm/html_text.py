@@ -10,7 +10,8 @@ whole, by prefix doubling up to DEPTH tokens, brings equal substrings of that le
 stand on at least two distinct pages are covered; a block with half its tokens or more covered is boilerplate.
 
 The text of a page with an article is the article: there only chrome goes, since an article copied to two pages is the main
-text of both. On a page without one the text is its unique runs: body blocks that aren't boilerplate.
+text of both. On a page without one the text is its unique runs: body blocks that aren't boilerplate, or all body blocks if
+every one is repeated elsewhere.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import field, partitions, session
+from grainmill.llm.common import field, partitions, session, written
 from grainmill.llm.url_rules import host_of
 
-GROUP, DEPTH = 128, 8
+GROUP, DEPTH, BROADCAST_BYTES = 128, 8, 4 << 20
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|math|object|canvas|select|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
@@ -148,16 +149,18 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
 
 
 def covered(pages: list[list[str]], depth: int = DEPTH) -> list[list[bool]]:
-    """For each page, given as block texts: which blocks have half their tokens or more in substrings of depth tokens that stand on two pages."""
+    """For each page, given as block texts: which blocks have half their tokens or more in substrings of depth tokens that stand on two pages. Copies of a page count as one."""
     known: dict[str, int] = {}
+    same: dict[tuple[str, ...], int] = {}
     ids, owner, sizes = [], [], []
-    for k, page in enumerate(pages):
+    for number, page in enumerate(pages):
+        k = same.setdefault(tuple(page), number)
         for text in page:
             tokens = text.split()
             sizes.append(len(tokens))
             ids.extend(known.setdefault(t, len(known)) for t in tokens)
             owner.extend([k] * len(tokens))
-        ids.append(-k - 1)
+        ids.append(-number - 1)
         owner.append(k)
         sizes.append(1)
     n = len(ids)
@@ -166,7 +169,7 @@ def covered(pages: list[list[str]], depth: int = DEPTH) -> list[list[bool]]:
     while length < depth:
         # the rank of a prefix of twice the length is that of its two halves; past the end stands -1
         second = np.full(n, -1, np.int64)
-        second[: n - length] = rank[length:]
+        second[: max(0, n - length)] = rank[length:]
         rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
         length *= 2
     suffixes = np.lexsort((page_of, rank))
@@ -196,7 +199,8 @@ def _text_of(page: list[tuple[int, str]], flags: list[bool]) -> tuple[str, int,
     if any(p == ARTICLE for p, _ in page):
         kept = [t for p, t in page if p == ARTICLE]
     else:
-        kept = [t for (p, t), f in zip(page, flags, strict=True) if p == BODY and not f]
+        body = [(t, f) for (p, t), f in zip(page, flags, strict=True) if p == BODY]
+        kept = [t for t, f in body if not f] or [t for t, _ in body]
     return " ".join(kept), sum(flags), len(page) - len(kept)
 
 
@@ -213,6 +217,8 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "
     rows = pages.select(field(pages, id_column).alias("i"), field(pages, url_column).cast("string").alias("u"), field(pages, html_column).cast("string").alias("t"))
     rows = rows.withColumn("host", host_of(F.col("u")))
     large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("host", F.ceil(F.col("n") / group).alias("groups"))
+    large = written(large, "large-hosts")
+    size = large.agg(F.coalesce(F.sum(F.octet_length("host") + 48), F.lit(0))).first()[0]
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +228,8 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), places, texts], names=["i", "u", "host", "places", "texts"])
 
     rows = rows.mapInArrow(parsed, f"i {kind}, u string, host string, places binary, texts array<string>")
-    rows = rows.join(large, "host", "left").withColumn("g", F.pmod(F.xxhash64("i", "u"), F.coalesce("groups", F.lit(1))))
+    # a join of the pages' texts with the few large hosts moves no text while these are of a bounded size
+    rows = rows.join(F.broadcast(large) if size <= BROADCAST_BYTES else large, "host", "left").withColumn("g", F.pmod(F.xxhash64("i", "u"), F.coalesce("groups", F.lit(1))))
     rows = rows.select("i", "u", "host", "g", "places", "texts").repartition(partitions(spark), "host", "g").sortWithinPartitions("host", "g")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

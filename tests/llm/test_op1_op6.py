@@ -108,7 +108,7 @@ def test_suffix_array_equals_brute_force():
         seen = collections.defaultdict(set)
         for k, p in enumerate(flat):
             for i in range(len(p) - 3):
-                seen[tuple(p[i : i + 4])].add(k)
+                seen[tuple(p[i : i + 4])].add(pages.index(pages[k]))
         want = []
         for p, own in zip(pages, flat, strict=True):
             marked = {j for i in range(len(own) - 3) if len(seen[tuple(own[i : i + 4])]) > 1 for j in range(i, i + 4)}
@@ -128,6 +128,12 @@ def test_page_without_article_keeps_unique_runs(spark):
     assert all(t.startswith("text w") and "site" not in t for t in out.values())
 
 
+def test_copied_pages_keep_their_text(spark):
+    text = "<body><p>" + " ".join(f"w{j}" for j in range(30)) + "</p><p>" + " ".join(f"v{j}" for j in range(30))
+    out = H.extract(spark.createDataFrame([(k, "http://h.org/", text) for k in range(4)], "page_id bigint, url string, html string"))
+    assert {r.n_chars for r in out.collect()} == {len(" ".join([f"w{j}" for j in range(30)] + [f"v{j}" for j in range(30)]))}
+
+
 def test_pages_of_odd_tables(spark):
     df = spark.createDataFrame([(1, None, None, 1), (None, "x", "<p>a", 2), (1, "http://a/", "", 3)], "page_id bigint, url string, html string, g int")
     assert sorted((r.text, r.n_chars) for r in H.extract(df).collect()) == [("", 0), ("", 0), ("a", 1)]
