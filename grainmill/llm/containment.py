@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import field, kept_rows, session
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: ASCII letters, digits and every byte of a character beyond ASCII stay.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
