@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The characters that count as white space, and those that end a line.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: Control characters other than tab and line feed.
+CONTROLS = "".join(chr(c) for c in range(32) if c not in (9, 10))
 #: Word characters by Unicode category, so that every engine agrees on them.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -75,8 +77,8 @@ def shingles(words: Column, size: int) -> Column:
 
 def repetition_ratio(text: Column) -> Column:
     """1 - distinct / all over lines of 20 characters or more, compared in lower case with white space collapsed; 0 without such lines."""
-    lines = F.transform(F.split(text, LINE_END, -1), lambda x: collapse(F.lower(x)))
-    lines = F.filter(lines, lambda x: F.length(x) >= 20)
+    lines = F.filter(F.split(text, LINE_END, -1), lambda x: F.length(x) >= 20)
+    lines = F.filter(F.transform(lines, lambda x: collapse(F.lower(x))), lambda x: F.length(x) >= 20)
     return let(lines, lambda x: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(x)) / F.size(x)))
 
 
@@ -86,18 +88,20 @@ def quality_text(text: Column) -> Column:
 
 def quality_reason(text: Column, min_chars: int = 200, max_chars: int = 2_000_000, max_control_ratio: float = 0.01, max_repetition_ratio: float = 0.35) -> Column:
     """The first reason to reject a text, empty if there is none. The raw length is looked at before anything is copied."""
-    clean = quality_text(text)
-    controls = F.regexp_count(clean, F.lit(r"[\x00-\x08\x0b-\x1f]"))
-    broken = F.length(clean) - F.length(F.replace(clean, F.lit("�"), F.lit("")))
-    return (
-        F.when(text.isNull(), "missing_text")
-        .when(F.length(text) > max_chars, "too_long")
-        .when(F.length(clean) < min_chars, "too_short")
-        .when(controls / F.greatest(F.lit(1), F.length(clean)) > max_control_ratio, "control_characters")
-        .when(broken / F.greatest(F.lit(1), F.length(clean)) > 0.001, "replacement_characters")
-        .when(repetition_ratio(clean) > max_repetition_ratio, "repetitive")
-        .otherwise("")
-    )
+
+    def of(clean: Column) -> Column:
+        size = F.greatest(F.lit(1), F.length(clean))
+        controls = F.length(clean) - F.length(F.translate(clean, CONTROLS, ""))
+        broken = F.length(clean) - F.length(F.translate(clean, "\ufffd", ""))
+        return (
+            F.when(F.length(clean) < min_chars, "too_short")
+            .when(controls / size > max_control_ratio, "control_characters")
+            .when(broken / size > 0.001, "replacement_characters")
+            .when(repetition_ratio(clean) > max_repetition_ratio, "repetitive")
+            .otherwise("")
+        )
+
+    return F.when(text.isNull(), "missing_text").when(F.length(text) > max_chars, "too_long").otherwise(let(quality_text(text), of))
 
 
 def content_digest(text: Column) -> Column:

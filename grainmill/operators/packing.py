@@ -17,6 +17,11 @@ def byte_ids(text: Column) -> Column:
     return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
+def byte_encoder() -> Callable[[str], list[int]]:
+    """The byte tokenizer as pack() wants it."""
+    return lambda text: list((text or "").encode())
+
+
 def packed(documents: Iterator[list[int]], row_tokens: int, eos: int = EOS) -> Iterator[list[int]]:
     """Token rows of at most row_tokens: each starts with the end mark and ends with it, documents stand between marks and go on in the next row."""
     row = [eos]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import text as X
 from grainmill.operators import governance, packing, quality, selection, similarity
 from grainmill.operators.ranking import global_rank
-from grainmill.sources.tables import table
+from grainmill.sources.tables import table, texts
 
 #: SQL that the oracles share, with the white space and line-end classes spelt out.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -31,49 +31,57 @@ SHINGLES = "list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len
 
 def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     """By language and source: documents, rejected, retained after exact dedup, retained characters."""
-    docs = quality.with_reason(table(spark, sf, "documents"))
-    kept = quality.exact_dedup(docs.where("reason = ''").withColumn("digest", X.content_digest(F.col("text"))), "digest", ["doc_id", "source"])
-    kept = kept.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("retained"), F.sum(F.length(X.quality_text(F.col("text")))).alias("chars"))
+    docs = _judged(spark, sf)
+    kept = quality.exact_dedup(docs.where("reason = ''"), "digest", ["doc_id", "source", "clean_sha"], None)
+    kept = kept.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("retained"), F.sum("chars").alias("chars"))
     seen = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("reason") != "").alias("rejected"))
     out = seen.join(kept, ["lang", "source"], "left")
     return out.select("lang", "source", "documents", "rejected", F.coalesce("retained", F.lit(0)).alias("retained"), F.coalesce("chars", F.lit(0)).alias("chars"))
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """What the text is judged to be, in narrow columns, computed once: later steps don't move texts."""
+    docs = quality.with_reason(texts(spark, sf)).withColumn("clean", X.quality_text(F.col("text")))
+    docs = docs.select("doc_id", "lang", "source", "reason", X.collapse(F.col("clean")).alias("flat"), "clean")
+    docs = docs.select("doc_id", "lang", "source", "reason", F.sha2("flat", 256).alias("digest"), F.sha2("clean", 256).alias("clean_sha"), F.length("clean").cast("bigint").alias("chars"))
+    return similarity.parquet_checkpoint(spark)(docs)
+
+
 def quality_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.with_reason(table(spark, sf, "documents")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return quality.with_reason(texts(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repetition_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.round(X.repetition_ratio(F.col("text")), 6).alias("ratio"))
+    return texts(spark, sf).select("doc_id", F.round(X.repetition_ratio(F.col("text")), 6).alias("ratio"))
 
 
 def exact_dedup_keep(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality_filter(table(spark, sf, "documents")).select("doc_id", "content_digest")
+    kept = quality.exact_dedup(_judged(spark, sf).where("reason = ''"), "digest", ["doc_id", "source", "clean_sha"], None)
+    return kept.select("doc_id", F.col("digest").alias("content_digest"))
 
 
 def exact_dedup_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    docs = quality.with_reason(table(spark, sf, "documents")).where("reason = ''").withColumn("digest", X.content_digest(F.col("text")))
-    return quality.aliases(docs, "digest", "doc_id", ["source"])
+    return quality.aliases(_judged(spark, sf).where("reason = ''"), "digest", "doc_id", ["source"])
 
 
 def cross_source_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Sources in the order of their number: the first that has a text keeps it."""
-    docs = table(spark, sf, "documents").withColumn("digest", X.content_digest(F.col("text")))
+    docs = texts(spark, sf).withColumn("digest", X.content_digest(F.col("text")))
     kept = quality.first_seen(docs, "digest", F.regexp_extract("source", r"\d+", 0).cast("int"), ["doc_id"])
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def source_counts_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.bounded_counts(table(spark, sf, "documents"), "source", 8)
+    return quality.bounded_counts(texts(spark, sf), "source", 8)
 
 
 def privacy_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.explode(X.privacy_reasons(F.col("text"))).alias("reason"))
+    docs = texts(spark, sf).select(F.explode(X.privacy_reasons(F.col("text"))).alias("reason"))
     return docs.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def code_like(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.where(X.code_like(F.col("text"), F.col("source"))).select("doc_id")
 
 
@@ -84,88 +92,89 @@ def source_family(spark: SparkSession, sf: str) -> DataFrame:
 def license_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by the licence their text states, and whether an allow-list admits it."""
     said = F.lower(F.regexp_extract("text", r"(?i)(MIT License|Apache License, Version 2\.0|CC BY-NC 4\.0|GNU General Public License, version \d)", 1))
-    docs = table(spark, sf, "documents").select(said.alias("license"), F.length("text").alias("n"))
+    docs = texts(spark, sf).select(said.alias("license"), F.length("text").alias("n"))
     reason = F.when(F.col("n") < 200, "length").when(F.col("license").isin("", "mit license", "apache license, version 2.0"), "").otherwise("license")
     return docs.groupBy("license", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", F.size(X.tokens(F.col("text"))).alias("t"), F.octet_length("text").alias("b"))
+    docs = texts(spark, sf).select("source", F.size(X.tokens(F.col("text"))).alias("t"), F.octet_length("text").alias("b"))
     return docs.groupBy("source").agg(F.sum("t").alias("tokens"), F.sum(F.col("b") + 1).alias("byte_tokens"))
 
 
 def decontam_containment(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.containment(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "item_id", "shared", F.round("coverage", 6).alias("coverage"))
+    return similarity.containment(texts(spark, sf), table(spark, sf, "benchmark")).select("doc_id", "item_id", "shared", F.round("coverage", 6).alias("coverage"))
 
 
 def decontam_short(spark: SparkSession, sf: str) -> DataFrame:
     """The first three words of every item as short entries, matched as substrings."""
     items = table(spark, sf, "benchmark").withColumn("text", F.array_join(F.slice(X.tokens(F.col("text")), 1, 3), " "))
-    return similarity.short_matches(table(spark, sf, "documents"), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return similarity.short_matches(texts(spark, sf), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def decontam_screen(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.screen(table(spark, sf, "documents"), table(spark, sf, "benchmark")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return similarity.screen(texts(spark, sf), table(spark, sf, "benchmark")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    kept = quality.quality_filter(table(spark, sf, "documents"))
-    return similarity.jaccard_pairs(kept, min_jaccard=0.7).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    cut = similarity.parquet_checkpoint(spark)
+    kept = quality.quality_filter(texts(spark, sf)).select("doc_id", "text")
+    return similarity.jaccard_pairs(kept, min_jaccard=0.7, checkpoint=cut).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def near_dup_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy: longest first, a document goes if a retained one is similar."""
-    kept = quality.quality_filter(table(spark, sf, "documents")).select("doc_id", "source", "text")
     cut = similarity.parquet_checkpoint(spark)
-    pairs = cut(similarity.jaccard_pairs(kept, min_jaccard=0.5))
+    kept = cut(quality.quality_filter(texts(spark, sf)).select("doc_id", "source", "text"))
+    pairs = cut(similarity.jaccard_pairs(kept, min_jaccard=0.5, checkpoint=cut))
     order = [F.length("text").desc(), F.sha2("text", 256), F.col("doc_id"), F.col("source")]
     ranked = global_rank(kept.withColumn("g", -F.floor(F.length("text") / 64)), "g", order).select(F.col("doc_id").alias("k"), "rank")
     return similarity.greedy_survivors(cut(ranked), pairs, cut).where(~F.col("keep")).select(F.col("k").alias("doc_id"))
 
 
 def near_dup_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    kept = quality.quality_filter(table(spark, sf, "documents"))
+    kept = quality.quality_filter(texts(spark, sf))
     plain = kept.where(~X.code_like(F.col("text"), F.col("source")))
     return similarity.simhash_pairs(plain, max_hamming=7, min_jaccard=0.5)
 
 
 def split_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.split_documents(table(spark, sf, "documents"), 0.2, 17).select("doc_id", "split")
+    return selection.split_documents(texts(spark, sf), 0.2, 17).select("doc_id", "split")
 
 
 def frozen_split(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     first = selection.split_documents(docs, 0.1, 5).join(docs, "doc_id").select("identity", F.sha2("text", 256).alias("document_sha256"), "split")
     return selection.frozen_split(docs, first).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_audit(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     rows = selection.split_documents(docs, 0.2, 17).join(docs, "doc_id").select("identity", F.sha2("text", 256).alias("document_sha256"), "split")
     return governance.split_audit(rows)
 
 
 def source_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.cap_per_group(table(spark, sf, "documents"), "source", 5, 11, key="doc_id").select("source", "doc_id")
+    return selection.cap_per_group(texts(spark, sf), "source", 5, 11, key="doc_id").select("source", "doc_id")
 
 
 def budget_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("length(text) > 0").select("source", "doc_id", F.length("text").alias("chars"))
+    docs = texts(spark, sf).where("length(text) > 0").select("source", "doc_id", F.length("text").alias("chars"))
     return selection.within_budget(docs, "source", "chars", F.lit(20_000), 3, key="doc_id").select("source", "doc_id", "used")
 
 
 def apportion_budget(spark: SparkSession, sf: str) -> DataFrame:
-    weights = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("weight"))
+    weights = texts(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("weight"))
     return selection.apportion(weights, 1_000_003, order="source").select("source", "weight", "budget")
 
 
 def sqrt_weights(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"))
+    rows = texts(spark, sf).groupBy("source").agg(F.sum("n_chars").alias("chars"))
     return selection.shares(rows, "chars").select("source", F.round("share", 9).alias("share"))
 
 
 def weighted_draws(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     found = selection.weighted_draw(spark.range(1000).withColumnRenamed("id", "draw"), selection.shares(rows, "n", "tokens"), 23, name="lang")
     return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
@@ -177,24 +186,24 @@ def scheduled_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_corpora(spark: SparkSession, sf: str) -> DataFrame:
-    docs = governance.derived(table(spark, sf, "documents"), {"a": ["src0", "src1"], "b": ["src2", "src3", "src4"]})
+    docs = governance.derived(texts(spark, sf), {"a": ["src0", "src1"], "b": ["src2", "src3", "src4"]})
     return docs.groupBy("corpus", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def set_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return governance.set_fingerprint(table(spark, sf, "documents"), "doc_id")
+    return governance.set_fingerprint(texts(spark, sf), "doc_id")
 
 
 def multiset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return governance.multiset_fingerprint(table(spark, sf, "documents").select("text"), "text")
+    return governance.multiset_fingerprint(texts(spark, sf).select("text"), "text")
 
 
 def pack_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as bytes in rows of 2048, train and val, sixteen groups each, longest first."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     rows = docs.join(selection.split_documents(docs, 0.2, 17).drop("identity"), "doc_id")
-    rows = rows.select("split", X.hash_bucket("pack", F.col("doc_id"), 16).alias("g"), (-F.length("text")).alias("o"), "doc_id", packing.byte_ids(F.col("text")).alias("ids"))
-    out = packing.pack(rows, split="split", group="g", order=["o", "doc_id"], ids="ids", row_tokens=2048)
+    rows = rows.select("split", X.hash_bucket("pack", F.col("doc_id"), 16).alias("g"), (-F.length("text")).alias("o"), "doc_id", F.col("text").alias("ids"))
+    out = packing.pack(rows, split="split", group="g", order=["o", "doc_id"], ids="ids", row_tokens=2048, encode=packing.byte_encoder)
     return out.groupBy("split", "grp").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"))
 
 

@@ -7,3 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over as many partitions as there are cores, where the files have fewer: a small file is one task otherwise. Large inputs stay as they are read."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table whose rows cost much to work on."""
+    return spread(table(spark, folder, name))
