@@ -2,13 +2,15 @@
 
 A text's lines are hashed; a rolling hash over the hashes of the last WINDOW lines ends a chunk where it is 0 modulo
 DIVISOR and the chunk has two lines at least. Boundaries follow from content near them, so lines inserted or dropped elsewhere
-don't move them, and a passage that several documents share is cut alike in each. A line of PASSAGE words or
-more, a passage that happens to stand on one line, is also a unit of its own.
+don't move them, and a passage that several documents share is cut alike in each. Chunks alone miss passages in which no whole
+chunk lies, and the heads and tails of others. Therefore the shortest run of lines with PASSAGE words or more from each line on,
+and the shortest one up to each line, are units as well (a line of that length is one by itself). In a repeated run of lines
+with PASSAGE words or more every line is in such a unit inside the run, so that the whole run is found.
 
 A unit whose hash occurs once stays without its text ever being moved. The texts of the others are compared
 byte by byte, by grouping on the text itself; of equal units the first one, by (id, text hash, line), stays and the rest
-are removed. If a chunk goes, its first copy is earlier, and so is a copy of each long line in it: something of every
-repeated passage is left.
+are removed. If a line goes, an equal one stands at an earlier place, in the first copy of its unit: going back from copy to copy ends
+at a line that stays, so something of every repeated passage is left.
 """
 
 from __future__ import annotations
@@ -41,14 +43,36 @@ def chunks(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR) ->
     return out
 
 
+def runs(words: list[int], passage: int = PASSAGE) -> set[tuple[int, int]]:
+    """(first line, lines) of the shortest runs with ``passage`` words or more from each line on and up to each line; words: of each line."""
+    out, end, held = set(), 0, 0
+    for a, n in enumerate(words):
+        while end < len(words) and held < passage:
+            held += words[end]
+            end += 1
+        if held < passage:
+            break
+        out.add((a, end - a))
+        held -= n
+    first, held = 0, 0
+    for k, n in enumerate(words):
+        held += n
+        while held - words[first] >= passage:
+            held -= words[first]
+            first += 1
+        if held >= passage:
+            out.add((first, k + 1 - first))
+    return out
+
+
 def units(text: str, passage: int = PASSAGE) -> list[tuple[int, int, int]]:
-    """(first line, lines, signed hash) of chunks of two lines or more and of long lines; lines without words are no unit by themselves."""
+    """(first line, lines, signed hash) of chunks of two lines or more and of the shortest runs of ``passage`` words; lines without words are no unit by themselves."""
     lines = text.encode().split(b"\n")
-    spans = [(a, n) for a, n in chunks(lines) if n > 1 and any(x.strip() for x in lines[a : a + n])]
+    spans = {(a, n) for a, n in chunks(lines) if n > 1 and any(x.strip() for x in lines[a : a + n])}
     if passage:
-        spans += [(a, 1) for a, x in enumerate(lines) if len(x) >= 2 * passage - 1 and len(x.split()) >= passage]
-    hashes = (xxhash.xxh64_intdigest(b"\n".join(lines[a : a + n]), n) for a, n in spans)
-    return [(a, n, h - (1 << 64) if h >> 63 else h) for (a, n), h in zip(spans, hashes, strict=True)]
+        spans |= runs([len(x.split()) for x in lines], passage)
+    hashes = ((a, n, xxhash.xxh64_intdigest(b"\n".join(lines[a : a + n]), n)) for a, n in sorted(spans))
+    return [(a, n, h - (1 << 64) if h >> 63 else h) for a, n, h in hashes]
 
 
 def _units(batches: Iterator[pa.RecordBatch], passage: int) -> Iterator[pa.RecordBatch]:
@@ -124,7 +148,7 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
     A null text stays null and has no lines; an empty one has one empty line. Rows that repeat an id are told apart by their text;
     rows that repeat both are one document and get the same answer. The smallest id, null first, keeps a passage.
-    Other columns are left out; an empty table gives an empty one. ``passage`` 0 turns units of one line off.
+    Other columns are left out; an empty table gives an empty one. ``passage`` 0 turns units by words off.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     gone = repeated_units(docs, id_column=id_column, text_column=text_column, passage=passage)

@@ -60,6 +60,28 @@ def test_long_line_is_a_passage(spark):
     assert out == {1: f"c\n{line}", 2: "a\nb"}
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 9])
+def test_short_passages_go_whole(spark, n):
+    """Every line of a passage of over 50 words goes from all copies but the first, wherever chunks end."""
+    passages = [[" ".join(f"p{p}l{j}w{w}" for w in range(51 // n + 1 + j % 2)) for j in range(n)] for p in range(12)]
+    rows = [(100 * c + p, "\n".join([f"own {c} {p}", *x, f"end {c} {p}"])) for c in range(3) for p, x in enumerate(passages)]
+    out = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(out[i].text == (t if i < 100 else f"own {i // 100} {i % 100}\nend {i // 100} {i % 100}") for i, t in rows)
+
+
+def test_runs_cover_every_long_run():
+    random.seed(6)
+    for _ in range(200):
+        words = [random.choice((0, 1, 4, 9, 30, 60)) for _ in range(12)]
+        found = L.runs(words)
+        for a in range(12):
+            for b in range(a + 1, 13):
+                inside = {j for f, n in found if a <= f and f + n <= b for j in range(f, f + n)}
+                first = next((j for j in range(a, b) if words[j]), b)
+                last = next((j for j in range(b - 1, a - 1, -1) if words[j]), a)
+                assert sum(words[a:b]) < L.PASSAGE or inside >= set(range(first, last + 1))
+
+
 def test_boundaries_shift_with_content():
     random.seed(5)
     lines = [f"line {random.random()}".encode() for _ in range(300)]
