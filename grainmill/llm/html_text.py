@@ -7,7 +7,9 @@ or id) or ``body`` (the rest). Scripts, styles, templates, comments and the head
 The pages of a host are dealt into groups of about GROUP pages by hash, so that a host with very many pages is many
 groups. In a group the pages' token streams are concatenated with unique separators, and a suffix array of the
 whole, by prefix doubling up to DEPTH tokens, brings equal substrings of that length together. Tokens in substrings that
-stand on at least two distinct pages are covered; a block with half its tokens or more covered is boilerplate.
+stand on at least two distinct pages are covered; a block with half its tokens or more covered is boilerplate. For the
+hosts of several groups, the hashes of all substrings of DEPTH tokens are counted over the whole host first, and each group is
+told which of its own stand on two distinct pages of the host, so that the groups don't change the result.
 
 The text of a page with an article is the article: there only chrome goes, since an article copied to two pages is the main
 text of both. On a page without one the text is its unique runs: body blocks that aren't boilerplate, or all body blocks if
@@ -22,6 +24,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,8 +151,21 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def covered(pages: list[list[str]], depth: int = DEPTH) -> list[list[bool]]:
-    """For each page, given as block texts: which blocks have half their tokens or more in substrings of depth tokens that stand on two pages. Copies of a page count as one."""
+def substrings(page: list[str], host: str | None, depth: int = DEPTH) -> np.ndarray:
+    """A 64-bit hash, of the host too, of the depth tokens from each token of the page on, given as block texts."""
+    tokens = np.array([xxhash.xxh64_intdigest(t, 3) for text in page for t in text.split()], np.uint64)
+    n = len(tokens) - depth + 1
+    out = np.full(max(0, n), xxhash.xxh64_intdigest(host or "", 5), np.uint64)
+    for j in range(depth if n > 0 else 0):
+        out += tokens[j : j + n] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+    return out.view(np.int64)
+
+
+def covered(pages: list[list[str]], depth: int = DEPTH, shared: np.ndarray | None = None, host: str | None = None) -> list[list[bool]]:
+    """For each page, given as block texts: which blocks have half their tokens or more in substrings of depth tokens that stand on two pages. Copies of a page count as one.
+
+    shared: hashes of substrings that stand on two pages of the host, in whatever groups.
+    """
     known: dict[str, int] = {}
     same: dict[tuple[str, ...], int] = {}
     ids, owner, sizes = [], [], []
@@ -177,7 +193,14 @@ def covered(pages: list[list[str]], depth: int = DEPTH) -> list[list[bool]]:
     apart = same & (page_of[suffixes[1:]] != page_of[suffixes[:-1]])
     repeated = np.zeros(rank.max() + 1 if n else 0, bool)
     repeated[rank[suffixes[1:]][apart]] = True
-    at = np.flatnonzero(repeated[rank])
+    starts = repeated[rank]
+    if shared is not None and len(shared):
+        place, own = 0, iter(sizes)
+        for page in pages:
+            found = np.isin(substrings(page, host, depth), shared)
+            starts[place : place + len(found)] |= found
+            place += sum(next(own) for _ in page) + next(own)
+    at = np.flatnonzero(starts)
     edge = np.zeros(n + length + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + length, -1)
@@ -227,31 +250,55 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "
             texts = pa.array([[t for _, t in page] for page in found], pa.list_(pa.string()))
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), places, texts], names=["i", "u", "host", "places", "texts"])
 
-    rows = rows.mapInArrow(parsed, f"i {kind}, u string, host string, places binary, texts array<string>")
     # a join of the pages' texts with the few large hosts moves no text while these are of a bounded size
-    rows = rows.join(F.broadcast(large) if size <= BROADCAST_BYTES else large, "host", "left").withColumn("g", F.pmod(F.xxhash64("i", "u"), F.coalesce("groups", F.lit(1))))
-    rows = rows.select("i", "u", "host", "g", "places", "texts").repartition(partitions(spark), "host", "g").sortWithinPartitions("host", "g")
+    sized = F.broadcast(large) if size <= BROADCAST_BYTES else large
+    dealt = F.pmod(F.xxhash64("i", "u"), F.coalesce("groups", F.lit(1)))
+    cell = F.xxhash64("host", "g").alias("cell")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, cells, contents = [], [], []
+            for t, host, own in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                page = [text for _, text in blocks(t)]
+                found = np.unique(substrings(page, host, depth))
+                hashes.append(found)
+                cells.append(np.full(len(found), own, np.int64))
+                contents.append(np.full(len(found), xxhash.xxh64_intdigest("\0".join(page), 9) - (1 << 63), np.int64))
+            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (hashes, cells, contents)]
+            yield pa.record_batch([pa.array(x) for x in columns], names=["h", "cell", "content"])
+
+    # substrings on two distinct pages of a large host, to each of its groups that has them
+    told = rows.join(sized, "host").withColumn("g", dealt).select("t", "host", cell).mapInArrow(hashed, "h bigint, cell bigint, content bigint")
+    told = told.groupBy("h").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.collect_set("cell").alias("cells")).where("low <> high AND size(cells) > 1")
+    told = told.select("h", F.explode("cells").alias("cell")).groupBy("cell").agg(F.collect_list("h").alias("shared"))
+    rows = rows.mapInArrow(parsed, f"i {kind}, u string, host string, places binary, texts array<string>")
+    rows = rows.join(sized, "host", "left").withColumn("g", dealt).select("i", "u", "host", cell, "places", "texts")
+    rows = rows.unionByName(told, allowMissingColumns=True).repartition(partitions(spark), "cell").sortWithinPartitions("cell", F.col("shared").isNull())
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(held: list[tuple]) -> pa.RecordBatch:
-            found = [list(zip(places, texts, strict=True)) for _, _, places, texts in held]
-            flags = covered([texts for _, _, _, texts in held], depth)
+        def answer(held: list[tuple], shared: np.ndarray | None) -> pa.RecordBatch:
+            found = [list(zip(places, texts, strict=True)) for _, _, places, texts, _ in held]
+            flags = covered([texts for _, _, _, texts, _ in held], depth, shared, held[0][4])
             made = [_text_of(page, f) for page, f in zip(found, flags, strict=True)]
-            columns = [pa.concat_arrays([i for i, _, _, _ in held]), pa.array([u for _, u, _, _ in held], pa.string()), pa.array([t for t, _, _ in made], pa.string())]
+            columns = [pa.concat_arrays([i for i, *_ in held]), pa.array([u for _, u, *_ in held], pa.string()), pa.array([t for t, _, _ in made], pa.string())]
             numbers = [[len(t) for t, _, _ in made], [len(p) for p in found], [c for _, c, _ in made], [r for _, _, r in made]]
             return pa.record_batch([*columns, *(pa.array(x, pa.int64()) for x in numbers)], names=["i", "u", "text", "n_chars", "n_blocks", "n_covered", "n_removed"])
 
-        held, last = [], None
+        held, last, shared = [], None, None
         for batch in batches:
-            urls, hosts, groups, places, texts = (batch.column(c).to_pylist() for c in range(1, 6))
-            for k, key in enumerate(zip(hosts, groups, strict=True)):
-                if key != last and held:
-                    yield answer(held)
-                    held = []
+            urls, hosts, cells, places, texts = (batch.column(c).to_pylist() for c in range(1, 6))
+            for k, key in enumerate(cells):
+                if key != last:
+                    if held:
+                        yield answer(held, shared)
+                    held, shared = [], None
                 last = key
-                held.append((batch.column(0).slice(k, 1), urls[k], places[k], texts[k]))
+                if batch.column(6)[k].is_valid:
+                    shared = batch.column(6)[k].values.to_numpy()
+                else:
+                    held.append((batch.column(0).slice(k, 1), urls[k], places[k], texts[k], hosts[k]))
         if held:
-            yield answer(held)
+            yield answer(held, shared)
 
     out = rows.mapInArrow(judged, f"i {kind}, u string, text string, n_chars bigint, n_blocks bigint, n_covered bigint, n_removed bigint")
     return out.withColumnsRenamed({"i": id_column, "u": url_column})

@@ -150,6 +150,20 @@ def test_page_without_article_keeps_unique_runs(spark):
     assert all(t.startswith("text w") and "site" not in t for t in out.values())
 
 
+def test_groups_of_a_large_host_change_nothing(spark):
+    """A block on two pages of a host is found in whatever groups the pages are; copies of a page are one."""
+    random.seed(8)
+    said = {k: " ".join(f"note{k // 2}x{j}" for j in range(12)) for k in range(40)}
+    rows = [(k, f"http://h.org/{k}", f"<body><p>{said[k]}</p><p>{' '.join(f'w{k}x{j}' for j in range(20))}</p></body>") for k in said]
+    rows += [(100 + k, f"http://h.org/copy/{k}", f"<body><p>{' '.join(f'c{j}' for j in range(30))}</p></body>") for k in range(10)]
+    rows += [(200, "http://other.org/", rows[0][2])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    whole, dealt = (sorted(map(str, H.extract(pages, group=g).collect())) for g in (1000, 4))
+    assert whole == dealt
+    out = {r.page_id: r for r in H.extract(pages, group=4).collect()}
+    assert all(out[k].n_covered == 1 and "note" not in out[k].text for k in said) and all(out[100 + k].n_covered == 0 for k in range(10)) and "note" in out[200].text
+
+
 def test_copied_pages_keep_their_text(spark):
     text = "<body><p>" + " ".join(f"w{j}" for j in range(30)) + "</p><p>" + " ".join(f"v{j}" for j in range(30))
     out = H.extract(spark.createDataFrame([(k, "http://h.org/", text) for k in range(4)], "page_id bigint, url string, html string"))
