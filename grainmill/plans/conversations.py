@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as X
@@ -134,15 +134,22 @@ def coverage_subset(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in chosen], "conv_id bigint")
 
 
+def retrieval_of(turns: DataFrame, queried: Column) -> DataFrame:
+    """Recall and mean reciprocal rank of the user turn before each assistant turn of the queried conversations, among the user turns of all conversations."""
+    written = similarity.parquet_checkpoint(turns.sparkSession)
+    grams = similarity.char_grams(F.col("text"))
+    # equal texts are compared once and count as often as they stand
+    user = written(turns.where("role = 'user'").groupBy("text").agg(F.count(F.lit(1)).alias("n")).select("n", grams.alias("g")))
+    asked = turns.where(queried & (F.col("role") == "user")).select("conv_id", "turn", grams.alias("g"))
+    reply = turns.where(queried & (F.col("role") == "assistant")).select("conv_id", (F.col("turn") - 1).alias("turn"), grams.alias("q"))
+    goal = written(reply.join(asked, ["conv_id", "turn"]).select("conv_id", "turn", "q", similarity.sparse_dot(F.col("q"), F.col("g")).alias("own")))
+    ahead = similarity.count_above(user, goal, ["conv_id", "turn"])
+    return metrics.retrieval(goal.join(ahead, ["conv_id", "turn"], "left").select((F.coalesce("above", F.lit(0)) + 1).alias("rank")), "rank")
+
+
 def chat_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    """For each assistant turn of a query conversation, its rank of the user turn before it among all user turns of the query set by n-gram cosine."""
-    rows = _turns(spark, sf).where("conv_id % 50 = 0")
-    user = rows.where("role = 'user'").select("conv_id", "turn", similarity.char_grams(F.col("text")).alias("g"))
-    reply = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), similarity.char_grams(F.col("text")).alias("q"))
-    goal = reply.join(user, ["conv_id", "turn"]).select("conv_id", "turn", "q", similarity.sparse_dot(F.col("q"), F.col("g")).alias("own"))
-    others = goal.crossJoin(F.broadcast(user.select("g"))).select("conv_id", "turn", "own", similarity.sparse_dot(F.col("q"), F.col("g")).alias("s"))
-    ranks = others.groupBy("conv_id", "turn").agg((F.count_if(F.round("s", 9) > F.round("own", 9)) + 1).alias("rank"))
-    return metrics.retrieval(ranks, "rank")
+    """For each assistant turn of a query conversation, its rank of the user turn before it among all user turns by n-gram cosine."""
+    return retrieval_of(_turns(spark, sf), F.col("conv_id") % 50 == 0)
 
 
 QUERIES = [render_conversation, conversation_history, decision_byte_lengths, turn_stats, length_distribution, trainable_conversations, context_fit, structural_recovery, task_projection, hash_bucket_split, split_leakage, turn_text_leakage, prefix_overlap, prompt_holdout, group_disjoint_split, duplicate_ambiguity, role_majority, stratified_min_hash, quota_order, balanced_shortest, curriculum_order, coverage_subset, chat_retrieval]

@@ -238,6 +238,31 @@ def test_pack_and_pairs(spark):
     assert all(len(r.x) == len(r.y) == 31 for r in pairs) and pairs[-1].y.count(-100) == 32 - pairs[-1].length
 
 
+def test_chat_retrieval_ranks_among_all_turns(spark):
+    """Brute force over every conversation; among the query conversations alone the ranks would be better."""
+    import zlib
+    from collections import Counter
+
+    from grainmill.plans import conversations as plans
+
+    random.seed(4)
+    say = lambda: " ".join(random.choice(("alpha", "beta", "gamma", "delta", "licence")) for _ in range(6))
+    rows = [(c, t, "assistant" if t % 2 else "user", say()) for c in range(0, 120) for t in range(4)] + [(500 + c, 0, "user", "Alpha beta gamma") for c in range(3)] + [(503, 0, "user", None)]
+
+    def grams(text):
+        counts = Counter(zlib.crc32(text.lower()[i : i + n].encode()) % 8192 for n in (3, 4, 5) for i in range(len(text) - n + 1))
+        size = sum(v * v for v in counts.values()) ** 0.5
+        return {k: v / size for k, v in counts.items()}
+
+    dot = lambda a, b: round(sum(v * b.get(k, 0.0) for k, v in a.items()), 9)
+    users = {(c, t): grams(x) for c, t, role, x in rows if role == "user" and x}
+    asked = [(c, t - 1, grams(x)) for c, t, role, x in rows if role == "assistant" and c % 50 == 0]
+    ranks = [1 + sum(dot(q, g) > dot(q, users[c, t]) for g in users.values()) for c, t, q in asked]
+    got = plans.retrieval_of(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), F.col("conv_id") % 50 == 0).first()
+    assert got.n == len(ranks) == 6 and max(ranks) > 12 and got.mrr == pytest.approx(sum(1 / r for r in ranks) / len(ranks))
+    assert all(got[f"recall_{k}"] == pytest.approx(sum(r <= k for r in ranks) / len(ranks)) for k in (1, 4, 8, 16, 32))
+
+
 def test_dom_ranking():
     page = "<html><body><div><p>alpha</p><a href=x>find licence</a></div><script>no</script><p>tail</p></body></html>"
     nodes = dom.nodes_of(page)
