@@ -17,16 +17,13 @@ _WORD = re.compile(r"\w+")
 
 
 class _Nodes(HTMLParser):
-    """Elements in document order with their own text; stops taking elements at the bound, and says so."""
+    """All elements in document order with their own text."""
 
-    def __init__(self, limit: int):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.limit, self.nodes, self.open, self.full = limit, [], [], False
+        self.nodes, self.open = [], []
 
     def handle_starttag(self, tag, attrs):
-        if len(self.nodes) >= self.limit:
-            self.full = True
-            return
         parent = self.open[-1] if self.open else -1
         said = " ".join(v for k, v in attrs if v and k in ("alt", "aria-label", "placeholder", "title", "value"))
         self.nodes.append({"ordinal": len(self.nodes), "depth": len(self.open), "tag": tag, "parent": parent, "text": said})
@@ -46,8 +43,8 @@ class _Nodes(HTMLParser):
                 node["text"] = f"{node['text']} {text}".strip()
 
 
-def nodes_of(html: str | None, limit: int = 20_000) -> list[dict]:
-    parser = _Nodes(limit)
+def nodes_of(html: str | None) -> list[dict]:
+    parser = _Nodes()
     parser.feed(html or "")
     parser.close()
     return parser.nodes
@@ -74,7 +71,7 @@ def rank_nodes(nodes: list[dict], task: str, budget: int) -> list[dict]:
     wanted, words, above = set(_WORD.findall(task)), [], []
     for n in nodes:
         words.append(set(_WORD.findall(n["text"].casefold())))
-        above.append(set() if n["parent"] < 0 else above[n["parent"]] | words[n["parent"]])
+        above.append(set() if n["parent"] < 0 else above[n["parent"]] | words[n["parent"]] & wanted)
     scored = []
     for n, own, over in zip(nodes, words, above, strict=True):
         text = n["text"].casefold()

@@ -270,6 +270,15 @@ def test_dom_ranking():
     assert [n["tag"] for n in dom.rank_nodes(nodes, "please find licence", 20)] == ["a"]
 
 
+def test_dom_of_a_long_page(spark):
+    page = "<body>" + "<p>x</p>" * 20_500 + "<a>late licence</a></body>"
+    nodes = dom.nodes_of(page)
+    assert len(nodes) == 20_502 and nodes[-1]["text"] == "late licence" and nodes[20_500]["text"] == "x"
+    pages = spark.createDataFrame([(1, page)], "page_id bigint, html string")
+    assert dom.dom_nodes(pages).select(F.size("nodes")).first()[0] == 20_502
+    assert dom.ranked_dom(pages, "find the late licence", budget=20).first().observation == "<a> late licence\n"
+
+
 def test_governance(spark):
     m = governance.manifest({"a": 1})
     governance.verify_manifest(m)
