@@ -116,6 +116,13 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", F.round(metrics.text_similarity(F.col("a"), F.col("b"), 0.5), 6).alias("score"))
 
 
+def text_similarity_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, each with a variant of its own: each e before a letter from a to m is lost with it, and the end is another."""
+    rows = table(spark, sf, "benchmark").withColumn("a", F.regexp_replace("text", "[^ -~]", ""))
+    rows = rows.withColumn("b", F.concat(F.regexp_replace("a", "e[a-m]", ""), F.lit(" and so on")))
+    return rows.select("item_id", F.round(metrics.text_similarity(F.col("a"), F.col("b"), 0.5), 6).alias("score"))
+
+
 def metadata_profile(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.value_counts(table(spark, sf, "events"), "event_type")
 
@@ -145,7 +152,7 @@ def dom_rank(spark: SparkSession, sf: str) -> DataFrame:
     return dom.ranked_dom(table(spark, sf, "pages"), "find the licence in the footer", budget=512)
 
 
-QUERIES = [success_at_deadline, latency_percentiles, nearest_rank, bootstrap_interval, case_macro, suite_rates, paired_arms, seed_summary, ratio_by_group, weighted_loss, quality_label_floor, chance_baseline, multiset_f1, coverage_check, category_means, error_buckets, text_similarity, metadata_profile, cosine_top, recall_at_k, dom_nodes, dom_rank]
+QUERIES = [success_at_deadline, latency_percentiles, nearest_rank, bootstrap_interval, case_macro, suite_rates, paired_arms, seed_summary, ratio_by_group, weighted_loss, quality_label_floor, chance_baseline, multiset_f1, coverage_check, category_means, error_buckets, text_similarity, text_similarity_whole, metadata_profile, cosine_top, recall_at_k, dom_nodes, dom_rank]
 
 _A = "a AS (SELECT event_id, user_id, event_type, value AS ms, event_id % 3 <> 0 AS success, event_id % 7 <> 0 AS valid FROM events)"
 _TOP = "p AS (SELECT q.vec_id AS query, e.vec_id, q.label AS own, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM p)"
@@ -166,6 +173,7 @@ ORACLES = {
     "coverage_check": "WITH e AS (SELECT DISTINCT user_id, event_type, 1 AS e FROM events WHERE user_id % 3 <> 0), f AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id % 5 <> 0 GROUP BY ALL) SELECT count(*) FILTER (n > 1) AS duplicates, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected FROM e FULL JOIN f USING (user_id, event_type)",
     "category_means": f"WITH {_A}, c AS (SELECT success::INT AS v, unnest([event_type, CASE WHEN valid THEN 'valid' ELSE 'invalid' END, 'ALL_CATEGORIES']) AS category FROM a) SELECT category, count(*) AS n, round(avg(v), 9) AS mean, round(avg((v = 1)::INT), 9) AS exact FROM c GROUP BY category",
     "error_buckets": "WITH l AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS said FROM events) SELECT CASE WHEN said IS NULL THEN 'parse_fail' WHEN said = event_type THEN 'correct_name' WHEN said IN ('view', 'click') THEN 'wrong_in_catalog' ELSE 'out_of_catalog' END AS bucket, count(*) AS n FROM l GROUP BY 1",
+    "text_similarity_whole": "WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS a FROM benchmark), u AS (SELECT item_id, a, regexp_replace(a, 'e[a-m]', '', 'g') || ' and so on' AS b FROM t), s AS (SELECT item_id, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS s FROM u) SELECT item_id, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 6) AS score FROM s",
     "text_similarity": "WITH t AS (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40) AS a, substr(regexp_replace(text, '[^ -~]', '', 'g'), 3, 40) AS b FROM benchmark), s AS (SELECT item_id, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS s FROM t) SELECT item_id, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 6) AS score FROM s",
     "metadata_profile": "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1",
     "cosine_top": f"WITH {_TOP} SELECT query, vec_id, score, rank FROM k WHERE rank <= 5",
