@@ -2,18 +2,24 @@
 
 Each page becomes a list of blocks in page order, each with a place: ``article`` (inside article, main or role=main),
 ``chrome`` (menus, page headers, footers, sidebars, notices, adverts, forms, reader comments: by element, role, class
-or id) or ``body`` (the rest). Scripts, styles, templates, comments and the head never become blocks.
-
-The pages of a host are dealt into groups of about GROUP pages by hash, so that a host with very many pages is many
-groups. In a group the pages' token streams are concatenated with unique separators, and a suffix array of the
-whole, by prefix doubling up to DEPTH tokens, brings equal substrings of that length together. Tokens in substrings that
-stand on at least two distinct pages are covered; a block with half its tokens or more covered is boilerplate. For the
-hosts of several groups, the hashes of all substrings of DEPTH tokens are counted over the whole host first, and each group is
-told which of its own stand on two distinct pages of the host, so that the groups don't change the result.
-
-The text of a page with an article is the article: there only chrome goes, since an article copied to two pages is the main
-text of both. On a page without one the text is its unique runs: body blocks that aren't boilerplate, or all body blocks if
-every one is repeated elsewhere.
+or id) or ``body`` (the rest). Scripts, styles, templates, comments and the head never become blocks. A page's main blocks are
+its article blocks or, if it has none, its body blocks. Parsing takes time linear in the page's length.
+
+The main blocks' tokens of all pages of a host form one string, of which a sparse suffix array is built: suffixes start at
+block starts and at minimisers, the smallest of STRIDE neighbouring SHORT-token prefixes, so that pages that share a
+run pick the same ones. The rank of a suffix is that of its first SHORT or LONG tokens, from prefix doubling; ranks are 64-bit
+hashes (of the host too), so that they agree between machines and no host needs to fit into one. Putting equal ranks together is a
+shuffle by rank. It counts the distinct pages (copies of a page, equal in all main blocks, are one) and all pages on which the
+substring stands; before it, a batch sends three rows a rank at most, so that a hot one stays small.
+
+A token is covered if it lies in a repeated substring, or between two neighbouring suffixes that both begin with one. Repeated means, on a page
+without an article: SHORT tokens, or a whole block, on two distinct pages. In an article, where pages quote each other and copies are main text too:
+LONG tokens, or a whole block of as many, on three distinct pages; or a whole block of SHORT tokens or more on three distinct pages and
+at least half the pages of the host. A block with half its tokens or more covered is boilerplate. The text is
+the unique runs: the main blocks without boilerplate. All of it stays if every main block is boilerplate; and an article more than
+half of which is boilerplate by LONG substrings alone is a copy and stays whole.
+
+Runs of LONG + SHORT + STRIDE tokens in articles and of SHORT + STRIDE - 1 elsewhere always hold a common suffix; blocks always start one.
 """
 
 from __future__ import annotations
@@ -31,28 +37,36 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import field, partitions, session, written
 from grainmill.llm.url_rules import host_of
 
-GROUP, DEPTH, BROADCAST_BYTES = 128, 8, 4 << 20
+SHORT, LONG, STRIDE, BROADCAST_BYTES = 8, 32, 25, 32 << 20
+#: Rows that a batch sends for one rank at most.
+ROWS_A_RANK = 3
+_TAIL = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)"
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|math|object|canvas|select|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|svg|canvas|select|textarea|title)(?=[\s/>]){_TAIL}(?:>|\Z).*?(?=</\1[\s/>]|\Z)"
+    rf"|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+){_TAIL}(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTRIBUTE = re.compile(r"""(role|class|id)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
 #: Elements that end a block; the others stand inside a line.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME = frozenset("nav footer aside form menu dialog button fieldset label input search head".split())
+CHROME = frozenset("nav footer aside form menu dialog button fieldset input search head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class names and ids.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup"
-    " login sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar widget widgets share sharing social related recommended recommendations comment comments commentlist respond"
-    " replies disqus search form".split()
-)
-COMMENTS = frozenset("comment comments commentlist reply replies respond disqus ad ads advert advertisement sponsored".split())
+#: Words of class names and ids: menus, footers, sidebars, notices, adverts, reader comments.
+NAMES = frozenset("menu menus nav navbar navigation breadcrumb breadcrumbs footer sidebar sidebars notice notices cookie cookies consent gdpr ad ads advert adverts advertisement advertising sponsor sponsored sponsors comment comments commentlist disqus".split())
+COMMENTS = frozenset("comment comments commentlist disqus ad ads advert advertisement sponsored".split())
+#: Page headers, outside an article.
+HEADERS = frozenset("header masthead".split())
+#: Start tags that end an open paragraph or item only up to these.
+_P_STOPS, _LI_STOPS, _DL_STOPS = ("article", "div", "section", "td", "li", "blockquote"), ("ul", "ol", "menu"), ("dl",)
+_ITEMS = frozenset("li dd dt td th tr option".split())
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
 ARTICLE, BODY, PAGE_CHROME = 0, 1, 2
+#: What a rank counts: pages of the host, whole article blocks, LONG tokens of an article, tokens or blocks of a page without one.
+PAGES, WHOLE, RUN, LOOSE = range(4)
+_MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
@@ -69,41 +83,82 @@ def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
         return False, False
     if main:
         return bool(COMMENTS.intersection(names)), True
-    if tag in CHROME or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+    if tag in CHROME or role in ROLES:
         return True, False
-    if not in_article and (tag == "header" or {"header", "top"} & set(names)):
+    if not in_article and (tag == "header" or HEADERS.intersection(names)):
         return True, False
     return bool(NAMES.intersection(names)), False
 
 
+def _number(m: re.Match) -> str:
+    """A reference with very many digits, of which the library's own function would raise an error."""
+    digits = (m[1] or m[2]).lstrip("0") or "0"
+    return f"&#{'' if m[1] else 'x'}{digits};" if len(digits) < 8 else "�"
+
+
+def decoded(text: str) -> str:
+    """Character references decoded, white space turned into one space, trimmed."""
+    if "&" in text:
+        text = unescape(_NUMBER.sub(_number, text))
+    return _SPACE.sub(" ", text).strip()
+
+
+class _Open:
+    """The open elements, with the places of each name, so that no step looks through all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = [("", False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.block_places = [0]
+
+    def push(self, tag: str, chrome: bool, article: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.block_places.append(len(self.stack))
+        self.stack.append((tag, chrome, article))
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.block_places.pop()
+
+
 def blocks(html: str | None) -> list[tuple[int, str]]:
     """(place, text) of every block with text, in page order; white space inside is one space."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    at, html = 0, html or ""
+    opened = _Open()
+    stack, at, html = opened.stack, 0, html or ""
 
     def flush() -> None:
         if held:
-            text = _SPACE.sub(" ", unescape("".join(held))).strip()
+            text = decoded("".join(held))
             held.clear()
             if text:
                 _, chrome, article = stack[-1]
                 out.append((PAGE_CHROME if chrome else ARTICLE if article else BODY, text))
 
-    def close(tag: str, stops: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-            if stack[k][0] in stops:
-                return
+    def close(tag: str, stops: tuple[str, ...]) -> None:
+        k = opened.last(tag)
+        if k > opened.last(*stops):
+            leave(k)
+
+    def leave(k: int) -> None:
+        if stack[-1][1:] != stack[k - 1][1:]:
+            flush()
+        opened.cut(k)
 
     for m in _MARKUP.finditer(html):
         if m.start() > at:
             held.append(html[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if not tag:
             continue
         tag = tag.lower()
@@ -113,192 +168,223 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         block = tag in BLOCKS
         if block:
             flush()
-        if m[2]:
-            if any(t == tag for t, _, _ in stack):
-                if not block and stack[-1][0] != tag:
-                    # an inline end tag never closes a block
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in BLOCKS:
-                            break
-                        if stack[k][0] == tag:
-                            flush()
-                            del stack[k]
-                            break
-                else:
-                    if stack[-1][1] != stack[-2][1] or stack[-1][2] != stack[-2][2]:
-                        flush()
-                    close(tag)
+        if m[3]:
+            k = opened.last(tag)
+            # an inline end tag never closes a block
+            if k and (block or k > opened.block_places[-1]):
+                leave(k)
             continue
         if block:
-            if stack[-1][0] == "p" or tag not in ("li", "dd", "dt", "td", "th", "tr", "option") and any(t == "p" for t, _, _ in stack):
-                close("p", ("article", "div", "section", "td", "li", "blockquote"))
+            if stack[-1][0] == "p" or tag not in _ITEMS and opened.last("p"):
+                close("p", _P_STOPS)
             if tag == "li":
-                close("li", ("ul", "ol", "menu"))
+                close("li", _LI_STOPS)
             elif tag in ("dd", "dt"):
-                close("dd", ("dl",))
-                close("dt", ("dl",))
+                close("dd", _DL_STOPS)
+                close("dt", _DL_STOPS)
         if tag in VOID:
             continue
         _, chrome, article = stack[-1]
-        own, main = _is_chrome(tag, m[4], article)
-        if own and not chrome:
+        own, main = _is_chrome(tag, m[5], article)
+        if own and not chrome or main and not article:
             flush()
-        if not m[4].rstrip().endswith("/") or block:
-            stack.append((tag, chrome or own, article or main))
+        if not m[5].rstrip().endswith("/") or block:
+            opened.push(tag, chrome or own, article or main)
     if at < len(html):
         held.append(html[at:])
     flush()
     return out
 
 
-def substrings(page: list[str], host: str | None, depth: int = DEPTH) -> np.ndarray:
-    """A 64-bit hash, of the host too, of the depth tokens from each token of the page on, given as block texts."""
-    tokens = np.array([xxhash.xxh64_intdigest(t, 3) for text in page for t in text.split()], np.uint64)
-    n = len(tokens) - depth + 1
-    out = np.full(max(0, n), xxhash.xxh64_intdigest(host or "", 5), np.uint64)
-    for j in range(depth if n > 0 else 0):
-        out += tokens[j : j + n] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
-    return out.view(np.int64)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _ODD
+    return h ^ (h >> np.uint64(32))
 
 
-def covered(pages: list[list[str]], depth: int = DEPTH, shared: np.ndarray | None = None, host: str | None = None) -> list[list[bool]]:
-    """For each page, given as block texts: which blocks have half their tokens or more in substrings of depth tokens that stand on two pages. Copies of a page count as one.
-
-    shared: hashes of substrings that stand on two pages of the host, in whatever groups.
-    """
-    known: dict[str, int] = {}
-    same: dict[tuple[str, ...], int] = {}
-    ids, owner, sizes = [], [], []
-    for number, page in enumerate(pages):
-        k = same.setdefault(tuple(page), number)
-        for text in page:
-            tokens = text.split()
-            sizes.append(len(tokens))
-            ids.extend(known.setdefault(t, len(known)) for t in tokens)
-            owner.extend([k] * len(tokens))
-        ids.append(-number - 1)
-        owner.append(k)
-        sizes.append(1)
-    n = len(ids)
-    rank, page_of = np.unique(np.array(ids, np.int64), return_inverse=True)[1].astype(np.int64), np.array(owner)
+def ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """By prefix doubling, from hashes of tokens: a hash of the ``depth`` tokens from each place on that has as many; depth is a power of two."""
     length = 1
     while length < depth:
-        # the rank of a prefix of twice the length is that of its two halves; past the end stands -1
-        second = np.full(n, -1, np.int64)
-        second[: max(0, n - length)] = rank[length:]
-        rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
+        tokens = _mixed(tokens[:-length] * _MIX + tokens[length:]) if len(tokens) > length else tokens[:0]
         length *= 2
-    suffixes = np.lexsort((page_of, rank))
-    same = rank[suffixes[1:]] == rank[suffixes[:-1]]
-    apart = same & (page_of[suffixes[1:]] != page_of[suffixes[:-1]])
-    repeated = np.zeros(rank.max() + 1 if n else 0, bool)
-    repeated[rank[suffixes[1:]][apart]] = True
-    starts = repeated[rank]
-    if shared is not None and len(shared):
-        place, own = 0, iter(sizes)
-        for page in pages:
-            found = np.isin(substrings(page, host, depth), shared)
-            starts[place : place + len(found)] |= found
-            place += sum(next(own) for _ in page) + next(own)
-    at = np.flatnonzero(starts)
-    edge = np.zeros(n + length + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + length, -1)
-    marked = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:n] > 0)])
-    out, place, sizes = [], 0, iter(sizes)
-    for page in pages:
-        flags = []
-        for _ in page:
-            size = next(sizes)
-            flags.append(bool(size) and 2 * int(marked[place + size] - marked[place]) >= size)
-            place += size
-        place += next(sizes)
-        out.append(flags)
-    return out
-
+    return tokens
+
+
+def minimisers(rank: np.ndarray, stride: int = STRIDE) -> np.ndarray:
+    """Places of the smallest of each ``stride`` neighbouring ranks, in order; of all, if there are fewer."""
+    if len(rank) <= stride:
+        return np.array([rank.argmin()]) if len(rank) else np.empty(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(rank, stride).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
+
+
+class Page:
+    """A page's blocks, and the sampled suffixes of its main ones."""
+
+    def __init__(self, html: str | None, host: str | None):
+        self.blocks = blocks(html)
+        self.article = any(p == ARTICLE for p, _ in self.blocks)
+        own = ARTICLE if self.article else BODY
+        self.main = [t for p, t in self.blocks if p == own]
+        parts = [t.split() for t in self.main]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        seed = xxhash.xxh64_intdigest(host or "", 5)
+        digest = xxhash.xxh64_intdigest
+        tokens = np.array([digest(t, 3) for p in parts for t in p], np.uint64)
+        short = ranks(tokens, SHORT)
+        at = minimisers(short)
+        if self.article:
+            deep = ranks(tokens, LONG)
+            self.at, self.depth, kind = at[at < len(deep)], LONG, RUN
+            found = deep[self.at]
+        else:
+            first = self.starts[self.starts < len(short)]
+            self.at, self.depth, kind = np.union1d(at, first), SHORT, LOOSE
+            found = short[self.at]
+        self.whole = np.flatnonzero(self.sizes >= SHORT)
+        texts = np.array([digest(self.main[k], 7) for k in self.whole], np.uint64)
+        self.suffix_keys = self._keys(found + np.uint64(seed), kind)
+        self.block_keys = self._keys(texts ^ np.uint64(seed), WHOLE if self.article else LOOSE)
+        self.host_key = self._keys(np.array([seed], np.uint64), PAGES)
+        self.content = xxhash.xxh32_intdigest("\0".join(self.main), 9) - (1 << 31)
+
+    @staticmethod
+    def _keys(values: np.ndarray, kind: int) -> np.ndarray:
+        return (_mixed(values) & ~np.uint64(3) | np.uint64(kind)).view(np.int64)
+
+    def keys(self) -> np.ndarray:
+        return np.unique(np.concatenate([self.suffix_keys, self.block_keys, self.host_key]))
+
+    def text(self, told: Told | None) -> tuple[str, int, int]:
+        """The text, main blocks that are boilerplate, blocks that don't stand in the text."""
+        if told is None or not len(self.main):
+            return " ".join(self.main), 0, len(self.blocks) - len(self.main)
+        total = int(self.sizes.sum())
+        hits, whole = told.pages(self.suffix_keys) > 0, told.pages(self.block_keys)
+        edge = np.zeros(total + LONG + 1, np.int64)
+        at = self.at[hits]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.depth, -1)
+        both = np.flatnonzero(hits[1:] & hits[:-1])
+        np.add.at(edge, self.at[both], 1)
+        np.add.at(edge, self.at[both + 1], -1)
+        marked = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:total] > 0)])
+        covered = 2 * (marked[self.starts + self.sizes] - marked[self.starts]) >= self.sizes
+        site = np.zeros(len(self.main), bool)
+        if self.article:
+            everywhere = max(1, int(told.pages(self.host_key)[0]))
+            site[self.whole] = 2 * whole >= everywhere
+            covered[self.whole] |= (whole > 0) & (self.sizes[self.whole] >= LONG)
+            if 2 * int(self.sizes[covered & ~site].sum()) > total:
+                covered[:] = False
+        else:
+            site[self.whole] = whole > 0
+        covered |= site
+        covered &= self.sizes > 0
+        gone = covered if not covered.all() else np.zeros(len(covered), bool)
+        return " ".join(t for t, g in zip(self.main, gone.tolist(), strict=True) if not g), int(covered.sum()), len(self.blocks) - len(self.main) + int(gone.sum())
+
+
+class Told:
+    """Ranks, sorted, and the pages of each."""
+
+    def __init__(self, ranked: np.ndarray, pages: np.ndarray):
+        order = np.argsort(ranked)
+        self.ranks, self.counts = ranked[order], pages[order]
+
+    def pages(self, keys: np.ndarray) -> np.ndarray:
+        """For each key the pages that have it; 0 if it isn't repeated."""
+        if not len(self.ranks):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.ranks, keys), len(self.ranks) - 1)
+        return np.where(self.ranks[at] == keys, self.counts[at], 0)
+
+
+def thinned(keys: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, content, pages): at most ROWS_A_RANK rows a key, of distinct contents, whose pages add up to all rows of the key."""
+    order = np.lexsort((contents, keys))
+    keys, contents = keys[order], contents[order]
+    if not len(keys):
+        return keys, contents, np.empty(0, np.int64)
+    new_key = np.r_[True, keys[1:] != keys[:-1]]
+    first = np.flatnonzero(new_key | np.r_[True, contents[1:] != contents[:-1]])
+    pages, key_of = np.diff(np.r_[first, len(keys)]), np.cumsum(new_key[first]) - 1
+    head = np.flatnonzero(new_key[first])
+    place = np.arange(len(first)) - head[key_of]
+    beyond = place >= ROWS_A_RANK
+    np.add.at(pages, head[key_of[beyond]], pages[beyond])
+    first, pages = first[~beyond], pages[~beyond]
+    return keys[first], contents[first], pages
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """(t, host) to (k, n): the keys that stand on as many distinct pages as their kind asks for, and the pages of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, contents = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for t, host in zip(batch.column(0), batch.column(1), strict=True):
+                page = Page(t.as_py(), host.as_py())
+                keys.append(page.keys())
+                contents.append(np.full(len(keys[-1]), page.content, np.int64))
+            k, c, n = thinned(np.concatenate(keys), np.concatenate(contents))
+            yield pa.record_batch([pa.array(k), pa.array(c, pa.int32()), pa.array(n, pa.int32())], names=["k", "c", "n"])
 
-def _text_of(page: list[tuple[int, str]], flags: list[bool]) -> tuple[str, int, int]:
-    """The text, blocks covered, blocks removed."""
-    if any(p == ARTICLE for p, _ in page):
-        kept = [t for p, t in page if p == ARTICLE]
-    else:
-        body = [(t, f) for (p, t), f in zip(page, flags, strict=True) if p == BODY]
-        kept = [t for t, f in body if not f] or [t for t, _ in body]
-    return " ".join(kept), sum(flags), len(page) - len(kept)
+    found = rows.select("t", "host").mapInArrow(run, "k bigint, c int, n int").repartition(partitions(session(rows)), "k")
+    found = found.groupBy("k", "c").agg(F.sum("n").alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"))
+    kind = F.col("k").bitwiseAND(3)
+    return found.where((kind == PAGES) & (F.col("distinct") >= 3) | (kind == LOOSE) & (F.col("distinct") >= 2) | kind.isin(WHOLE, RUN) & (F.col("distinct") >= 3)).select("k", "n")
 
 
-def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", group: int = GROUP, depth: int = DEPTH) -> DataFrame:
+def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", broadcast_bytes: int = BROADCAST_BYTES, coverage: bool = True) -> DataFrame:
     """Per row: the id, url, text, n_chars (code points), n_blocks, n_covered and n_removed.
 
     Null and empty html give an empty text. A null url, or one without ://, counts to a host without a name. Copies of a page
-    are pages of their own. An empty table gives an empty one; other columns are left out.
+    are pages of their own. Very long pages take memory in proportion to the page. An empty table gives an empty one; other
+    columns, whatever their names, are left out. Of ties there are none: every page is judged by counts.
+
+    The repeated ranks go to all tasks while they take up to ``broadcast_bytes``, so that no text is moved. Beyond that each page
+    gets its own ones by a join. Both give the same rows. ``coverage`` False leaves out the suffix array.
     """
-    if depth < 2 or depth & (depth - 1):
-        raise ValueError("depth must be a power of two")
     spark = session(pages)
     kind = pages.schema[id_column].dataType.simpleString()
     rows = pages.select(field(pages, id_column).alias("i"), field(pages, url_column).cast("string").alias("u"), field(pages, html_column).cast("string").alias("t"))
     rows = rows.withColumn("host", host_of(F.col("u")))
-    large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("host", F.ceil(F.col("n") / group).alias("groups"))
-    large = written(large, "large-hosts")
-    size = large.agg(F.coalesce(F.sum(F.octet_length("host") + 48), F.lit(0))).first()[0]
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks(t.as_py()) for t in batch.column(2)]
-            places = pa.array([bytes(p for p, _ in page) for page in found], pa.binary())
-            texts = pa.array([[t for _, t in page] for page in found], pa.list_(pa.string()))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), places, texts], names=["i", "u", "host", "places", "texts"])
-
-    # a join of the pages' texts with the few large hosts moves no text while these are of a bounded size
-    sized = F.broadcast(large) if size <= BROADCAST_BYTES else large
-    dealt = F.pmod(F.xxhash64("i", "u"), F.coalesce("groups", F.lit(1)))
-    cell = F.xxhash64("host", "g").alias("cell")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, cells, contents = [], [], []
-            for t, host, own in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                page = [text for _, text in blocks(t)]
-                found = np.unique(substrings(page, host, depth))
-                hashes.append(found)
-                cells.append(np.full(len(found), own, np.int64))
-                contents.append(np.full(len(found), xxhash.xxh64_intdigest("\0".join(page), 9) - (1 << 63), np.int64))
-            columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (hashes, cells, contents)]
-            yield pa.record_batch([pa.array(x) for x in columns], names=["h", "cell", "content"])
-
-    # substrings on two distinct pages of a large host, to each of its groups that has them
-    told = rows.join(sized, "host").withColumn("g", dealt).select("t", "host", cell).mapInArrow(hashed, "h bigint, cell bigint, content bigint")
-    told = told.groupBy("h").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.collect_set("cell").alias("cells")).where("low <> high AND size(cells) > 1")
-    told = told.select("h", F.explode("cells").alias("cell")).groupBy("cell").agg(F.collect_list("h").alias("shared"))
-    rows = rows.mapInArrow(parsed, f"i {kind}, u string, host string, places binary, texts array<string>")
-    rows = rows.join(sized, "host", "left").withColumn("g", dealt).select("i", "u", "host", cell, "places", "texts")
-    rows = rows.unionByName(told, allowMissingColumns=True).repartition(partitions(spark), "cell").sortWithinPartitions("cell", F.col("shared").isNull())
+    shared = told = None
+    if coverage:
+        told = written(repeated(rows), "repeated-substrings")
+        if 16 * told.count() <= broadcast_bytes:
+            found = told.toArrow()
+            shared = spark.sparkContext.broadcast(Told(found["k"].to_numpy(), found["n"].to_numpy()))
+            told = None
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(held: list[tuple], shared: np.ndarray | None) -> pa.RecordBatch:
-            found = [list(zip(places, texts, strict=True)) for _, _, places, texts, _ in held]
-            flags = covered([texts for _, _, _, texts, _ in held], depth, shared, held[0][4])
-            made = [_text_of(page, f) for page, f in zip(found, flags, strict=True)]
-            columns = [pa.concat_arrays([i for i, *_ in held]), pa.array([u for _, u, *_ in held], pa.string()), pa.array([t for t, _, _ in made], pa.string())]
-            numbers = [[len(t) for t, _, _ in made], [len(p) for p in found], [c for _, c, _ in made], [r for _, _, r in made]]
-            return pa.record_batch([*columns, *(pa.array(x, pa.int64()) for x in numbers)], names=["i", "u", "text", "n_chars", "n_blocks", "n_covered", "n_removed"])
-
-        held, last, shared = [], None, None
         for batch in batches:
-            urls, hosts, cells, places, texts = (batch.column(c).to_pylist() for c in range(1, 6))
-            for k, key in enumerate(cells):
-                if key != last:
-                    if held:
-                        yield answer(held, shared)
-                    held, shared = [], None
-                last = key
-                if batch.column(6)[k].is_valid:
-                    shared = batch.column(6)[k].values.to_numpy()
-                else:
-                    held.append((batch.column(0).slice(k, 1), urls[k], places[k], texts[k], hosts[k]))
-        if held:
-            yield answer(held, shared)
-
+            texts, numbers = [], []
+            for j, (t, host) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                page = Page(t.as_py(), host.as_py())
+                own = shared.value if shared else None
+                if batch.num_columns > 4:
+                    own = Told(*(batch.column(c)[j].values.to_numpy() if batch.column(c)[j].is_valid else np.empty(0, np.int64) for c in (4, 5)))
+                text, n_covered, removed = page.text(own)
+                texts.append(text)
+                numbers.append((len(text), len(page.blocks), n_covered, removed))
+            columns = [pa.array(x, pa.int64()) for x in (zip(*numbers, strict=True) if numbers else [()] * 4)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *columns], names=["i", "u", "text", "n_chars", "n_blocks", "n_covered", "n_removed"])
+
+    if told is not None:
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [Page(t.as_py(), host.as_py()).keys() for t, host in zip(batch.column(0), batch.column(1), strict=True)]
+                at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                yield pa.record_batch([batch.column(2).take(at), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))], names=["p", "k"])
+
+        # copies of a page, with the same host, share their list
+        rows = rows.withColumn("p", F.xxhash64("host", "t"))
+        wanted = rows.select("t", "host", "p").mapInArrow(listed, "p bigint, k bigint").distinct().join(told, "k")
+        wanted = wanted.groupBy("p").agg(F.collect_list(F.struct("k", "n")).alias("own"))
+        rows = rows.join(wanted, "p", "left").select("i", "u", "t", "host", F.col("own.k").alias("ks"), F.col("own.n").alias("ns"))
     out = rows.mapInArrow(judged, f"i {kind}, u string, text string, n_chars bigint, n_blocks bigint, n_covered bigint, n_removed bigint")
     return out.withColumnsRenamed({"i": id_column, "u": url_column})
