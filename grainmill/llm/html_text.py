@@ -60,8 +60,9 @@ HEADERS = frozenset("header masthead".split())
 #: Start tags that end an open paragraph or item only up to these.
 _P_STOPS, _LI_STOPS, _DL_STOPS = ("article", "div", "section", "td", "li", "blockquote"), ("ul", "ol", "menu"), ("dl",)
 _ITEMS = frozenset("li dd dt td th tr option".split())
+#: Names that say nothing by themselves.
+_PLAIN = frozenset("a b i p h1 h2 h3 h4 h5 h6 em strong span div ul ol li td tr table tbody section html body".split())
 _WORDS = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"\s+")
 _NUMBER = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
 ARTICLE, BODY, PAGE_CHROME = 0, 1, 2
 #: What a rank counts: pages of the host, whole article blocks, LONG tokens of an article, tokens or blocks of a page without one.
@@ -71,6 +72,8 @@ _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 def _is_chrome(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
     """Whether the element is chrome; whether it is a main container."""
+    if not raw and tag in _PLAIN:
+        return False, False
     attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(raw)} if raw else {}
     role = attributes.get("role", "")
     main = tag in ("article", "main") or role in ("main", "article")
@@ -100,7 +103,7 @@ def decoded(text: str) -> str:
     """Character references decoded, white space turned into one space, trimmed."""
     if "&" in text:
         text = unescape(_NUMBER.sub(_number, text))
-    return _SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 class _Open:
@@ -119,7 +122,12 @@ class _Open:
 
     def last(self, *tags: str) -> int:
         """The place of the innermost open element of these names; 0 if none is open."""
-        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+        found = 0
+        for tag in tags:
+            own = self.places.get(tag)
+            if own and own[-1] > found:
+                found = own[-1]
+        return found
 
     def cut(self, k: int) -> None:
         while len(self.stack) > k:
@@ -145,9 +153,9 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
                 out.append((PAGE_CHROME if chrome else ARTICLE if article else BODY, text))
 
     def close(tag: str, stops: tuple[str, ...]) -> None:
-        k = opened.last(tag)
-        if k > opened.last(*stops):
-            leave(k)
+        own = opened.places.get(tag)
+        if own and (own[-1] == len(stack) - 1 or own[-1] > opened.last(*stops)):
+            leave(own[-1])
 
     def leave(k: int) -> None:
         if stack[-1][1:] != stack[k - 1][1:]:
@@ -169,13 +177,13 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         if block:
             flush()
         if m[3]:
-            k = opened.last(tag)
+            own = opened.places.get(tag)
             # an inline end tag never closes a block
-            if k and (block or k > opened.block_places[-1]):
-                leave(k)
+            if own and (block or own[-1] > opened.block_places[-1]):
+                leave(own[-1])
             continue
         if block:
-            if stack[-1][0] == "p" or tag not in _ITEMS and opened.last("p"):
+            if tag not in _ITEMS or stack[-1][0] == "p":
                 close("p", _P_STOPS)
             if tag == "li":
                 close("li", _LI_STOPS)
@@ -201,9 +209,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """By prefix doubling, from hashes of tokens: a hash of the ``depth`` tokens from each place on that has as many; depth is a power of two."""
-    length = 1
+def ranks(tokens: np.ndarray, depth: int, length: int = 1) -> np.ndarray:
+    """By prefix doubling, from ranks of ``length`` tokens: a hash of the ``depth`` tokens from each place on that has as many; depth is ``length`` times a power of two."""
     while length < depth:
         tokens = _mixed(tokens[:-length] * _MIX + tokens[length:]) if len(tokens) > length else tokens[:0]
         length *= 2
@@ -235,7 +242,7 @@ class Page:
         short = ranks(tokens, SHORT)
         at = minimisers(short)
         if self.article:
-            deep = ranks(tokens, LONG)
+            deep = ranks(short, LONG, SHORT)
             self.at, self.depth, kind = at[at < len(deep)], LONG, RUN
             found = deep[self.at]
         else:
