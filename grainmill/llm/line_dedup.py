@@ -1,11 +1,12 @@
 """Line dedup over content-defined chunks.
 
-A text's lines are hashed; a rolling hash over the hashes of the last WINDOW lines ends a chunk where it is 0 modulo
-DIVISOR and the chunk has two lines at least. Boundaries follow from content near them, so lines inserted or dropped elsewhere
-don't move them, and a passage that several documents share is cut alike in each. Chunks alone miss passages in which no whole
-chunk lies, and the heads and tails of others. Therefore the shortest run of lines with PASSAGE words or more from each line on,
-and the shortest one up to each line, are units as well (a line of that length is one by itself). In a repeated run of lines
-with PASSAGE words or more every line is in such a unit inside the run, so that the whole run is found.
+A text's lines that have words are hashed; a rolling hash over the hashes of two neighbouring lines chooses boundaries: both lines of a pair
+whose rolling hash is 0 modulo DIVISOR are anchors, the first one to start chunks and the second one to end them, and so is every line of
+LONG_LINE words or more. Anchors follow from content near them, so lines inserted or dropped elsewhere don't move them. A chunk goes from
+any line to the next end anchor behind it, or from the last start anchor ahead to any line: chunks overlap in as many phases
+as there are lines, so that the edges of a passage that several documents share are chunk edges too. A chunk has two lines or
+more. A passage of n lines is found whole if one of its n - 1 pairs makes an anchor or one of its lines is long: always, for two to six lines with
+over 50 words, and else but for a chance of one half a pair, multiplied. A single line is a unit if it has ``passage`` words or more.
 
 A unit whose hash occurs once stays without its text ever being moved. The texts of the others are compared
 byte by byte, by grouping on the text itself; of equal units the first one, by (id, text hash, line), stays and the rest
@@ -15,6 +16,7 @@ at a line that stays, so something of every repeated passage is left.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,54 +26,56 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import field, session, written
 
-WINDOW, DIVISOR, PASSAGE = 2, 4, 50
+DIVISOR, LONG_LINE, PASSAGE = 2, 8, 50
+#: A pair that stands among as many before it makes an anchor, so that no chunk of periodic lines grows long.
+RECENT = 32
 _PRIME, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def chunks(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int]]:
-    """(first line, lines) of the chunks, which cover all lines in order."""
-    hashes, out, first, rolling = [xxhash.xxh64_intdigest(x, 7) for x in lines], [], 0, 0
-    drop = pow(_PRIME, window, 1 << 64)
-    for k, h in enumerate(hashes):
-        rolling = (rolling * _PRIME + h - (hashes[k - window] * drop if k >= window else 0)) & _MASK
-        # the low bits of a product depend on low bits only: decide by the high ones
-        if k - first >= 1 and (rolling >> 32) % divisor == 0:
-            out.append((first, k + 1 - first))
-            first = k + 1
-    if first < len(lines):
-        out.append((first, len(lines) - first))
-    return out
-
-
-def runs(words: list[int], passage: int = PASSAGE) -> set[tuple[int, int]]:
-    """(first line, lines) of the shortest runs with ``passage`` words or more from each line on and up to each line; words: of each line."""
-    out, end, held = set(), 0, 0
-    for a, n in enumerate(words):
-        while end < len(words) and held < passage:
-            held += words[end]
-            end += 1
-        if held < passage:
-            break
-        out.add((a, end - a))
-        held -= n
-    first, held = 0, 0
-    for k, n in enumerate(words):
-        held += n
-        while held - words[first] >= passage:
-            held -= words[first]
-            first += 1
-        if held >= passage:
-            out.add((first, k + 1 - first))
+def anchors(lines: list[bytes], divisor: int = DIVISOR, long_line: int = LONG_LINE) -> tuple[list[bool], list[bool]]:
+    """Of lines with words: which ones start chunks and which ones end chunks."""
+    starts = [len(x.split()) >= long_line for x in lines]
+    ends, recent, before = list(starts), deque(maxlen=RECENT), 0
+    for k, line in enumerate(lines):
+        h = xxhash.xxh64_intdigest(line, 7)
+        if k:
+            # the low bits of a product depend on low bits only: decide by the high ones
+            rolling = (before * _PRIME + h & _MASK) >> 32
+            if rolling % divisor == 0 or rolling in recent:
+                starts[k - 1] = ends[k] = True
+            recent.append(rolling)
+        before = h
+    return starts, ends
+
+
+def chunks(lines: list[bytes], divisor: int = DIVISOR, long_line: int = LONG_LINE) -> set[tuple[int, int]]:
+    """(first, last) line of every chunk: from each line to the next end anchor, from the last start anchor to each line."""
+    starts, ends = anchors(lines, divisor, long_line)
+    out, at = set(), None
+    for k in range(len(lines) - 2, -1, -1):
+        if ends[k + 1]:
+            at = k + 1
+        if at is not None:
+            out.add((k, at))
+    at = None
+    for k in range(1, len(lines)):
+        if starts[k - 1]:
+            at = k - 1
+        if at is not None:
+            out.add((at, k))
     return out
 
 
 def units(text: str, passage: int = PASSAGE) -> list[tuple[int, int, int]]:
-    """(first line, lines, signed hash) of chunks of two lines or more and of the shortest runs of ``passage`` words; lines without words are no unit by themselves."""
+    """(first line, lines, signed hash) of the chunks, and of single lines with ``passage`` words or more; lines without words lie inside units only."""
     lines = text.encode().split(b"\n")
-    spans = {(a, n) for a, n in chunks(lines) if n > 1 and any(x.strip() for x in lines[a : a + n])}
+    at = [k for k, x in enumerate(lines) if x.strip()]
+    own = [lines[k] for k in at]
+    spans = chunks(own)
     if passage:
-        spans |= runs([len(x.split()) for x in lines], passage)
-    hashes = ((a, n, xxhash.xxh64_intdigest(b"\n".join(lines[a : a + n]), n)) for a, n in sorted(spans))
+        spans |= {(k, k) for k, x in enumerate(own) if len(x) >= 2 * passage - 1 and len(x.split()) >= passage}
+    places = ((at[a], at[b] + 1 - at[a]) for a, b in sorted(spans))
+    hashes = ((a, n, xxhash.xxh64_intdigest(b"\n".join(lines[a : a + n]), n)) for a, n in places)
     return [(a, n, h - (1 << 64) if h >> 63 else h) for a, n, h in hashes]
 
 
@@ -148,7 +152,8 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
     A null text stays null and has no lines; an empty one has one empty line. Rows that repeat an id are told apart by their text;
     rows that repeat both are one document and get the same answer. The smallest id, null first, keeps a passage.
-    Other columns are left out; an empty table gives an empty one. ``passage`` 0 turns units by words off.
+    Other columns are left out; an empty table gives an empty one. ``passage`` 0 turns single lines off. Memory follows the longest
+    text; runs of equal or periodic lines make no long chunks.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     gone = repeated_units(docs, id_column=id_column, text_column=text_column, passage=passage)
