@@ -1,7 +1,12 @@
+import collections
+import math
 import random
+import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from grainmill.llm import language_id as G
 from grainmill.llm import url_rules as U
@@ -33,10 +38,82 @@ def test_held_out_rows_teach_nothing(spark, fitted):
     assert again.languages == model.languages and np.array_equal(again.centroids, model.centroids)
 
 
+def plain_prediction(model, text):
+    """n-grams in a dictionary, one centroid at a time."""
+    raw = b" " + text.lower().encode() + b" "
+    raw = bytes(b if b >= 128 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in raw)
+    seen = collections.Counter()
+    for n in (2, 3):
+        for k in range(len(raw) - n + 1):
+            gram = raw[k : k + n]
+            if gram.strip(b" "):
+                value = int.from_bytes(gram, "big") | (1 << 24 if n == 2 else 0)
+                seen[(value * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    x = {k: math.log1p(c) * float(model.idf[k]) for k, c in seen.items()}
+    length = math.sqrt(sum(v * v for v in x.values())) or 1.0
+    cosine = [sum(v * float(c[k]) for k, v in x.items()) / length for c in model.centroids]
+    best = max(range(len(cosine)), key=lambda c: (cosine[c], -c))
+    beyond = 1 - cosine[best] - model.radii[best][min(23, int(math.log2(max(1, sum(seen.values())))))]
+    return model.languages[best], min(1, max(0, cosine[best])), beyond, sorted(cosine)
+
+
+def test_predictions_equal_brute_force(fitted):
+    docs, model = fitted
+    texts = [r.text for r in docs.where("doc_id % 7 = 0").collect() if G.has_letter(r.text)] + ["a", "zażółć gęślą jaźń", "Это русский текст", "the of and"]
+    lang, score, rejected = model.predict(texts)
+    assert len(texts) > 100
+    for t, own, s, no in zip(texts, lang, score, rejected, strict=True):
+        want, cosine, beyond, all_of_them = plain_prediction(model, t)
+        assert abs(cosine - s) < 1e-5 and (own == want or all_of_them[-1] - all_of_them[-2] < 1e-5) and (no == (beyond > 0) or abs(beyond) < 1e-5)
+
+
 def test_rejection(fitted):
     _, model = fitted
     lang, score, rejected = model.predict([None, "", "12 !! 34", "Это русский текст, совсем не похожий на другие. " * 5, "zażółć gęślą jaźń " * 20])
     assert lang[:3] == ["und"] * 3 and not score[:3].any() and all(rejected)
+    assert all(model.predict(["Это русский текст", "zażółć gęślą jaźń", "日本語の文章です", "ελληνικό κείμενο εδώ"])[2])
+
+
+@pytest.fixture(scope="module")
+def counted():
+    """N-gram counts of labelled texts and of their pieces, and which rows are held out."""
+    rows = [r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist()[:4000] if r["lang"] and G.has_letter(r["text"])]
+    pieces = [G.piece(r["text"], xxhash.xxh32_intdigest(r["text"])) for r in rows]
+    return np.array([r["lang"] for r in rows]), G.counts([r["text"] for r in rows]), G.counts(pieces), np.array([zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows])
+
+
+def sample(langs, held, names, seed, each):
+    at = np.random.default_rng(abs(seed)).permutation(len(langs)) if seed >= 0 else np.arange(len(langs))
+    return np.concatenate([[k for k in at if langs[k] == n and not held[k]][:each] for n in names]).astype(int)
+
+
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+@pytest.mark.parametrize("seed", [0, 1, -1])
+def test_a_language_left_out_is_rejected(counted, out, seed):
+    langs, raw, pieces, held = counted
+    rows = sample(langs, held, sorted(set(langs.tolist()) - {out}), seed, 500)
+    model = G.fit_counts(langs[rows].tolist(), raw[rows], pieces[rows])
+    no = model.judge(raw[held])[2]
+    assert no[langs[held] == out].mean() >= 0.9 and no[langs[held] != out].mean() <= 0.02
+
+
+@pytest.mark.parametrize("seed", [0, 1, -1])
+def test_clusters_are_real(counted, seed):
+    """Every centroid has a share of its language's rows; several clusters are as good as one."""
+    langs, raw, pieces, held = counted
+    names = sorted(set(langs.tolist()))
+    rows = sample(langs, held, names, seed, 500)
+    right = {}
+    for k in (1, 4):
+        model = G.fit_counts(langs[rows].tolist(), raw[rows], pieces[rows], k)
+        own = np.array(model.languages)
+        best = model.judge(raw[held])[0]
+        right[k] = (own[best] == langs[held]).mean()
+        for n in names:
+            x = G.normalised(raw[rows][langs[rows] == n], model.idf) @ model.centroids[own == n].T
+            assert np.bincount(x.argmax(axis=1), minlength=x.shape[1]).min() >= G.SHARE * len(x)
+            assert k == 1 or x.shape[1] > 1
+    assert right[4] >= right[1] - 0.001 and right[4] > 0.99
 
 
 def test_counts_are_of_the_whole_text():
@@ -49,6 +126,7 @@ def test_counts_are_of_the_whole_text():
     finally:
         G.SEGMENT = old
     assert np.abs(whole - pieces).sum() <= 4  # a cut counts its 2-gram twice at most
+    assert np.array_equal(G.counts(["x y", text, "z", "", "a"])[1], whole)
     raw = (" " + text + " ").encode()
     assert whole.sum() == sum(raw[i : i + n] != b" " * n for n in (2, 3) for i in range(len(raw) - n + 1))
 
