@@ -1,7 +1,7 @@
 """MPEG audio in a binary column: a resynchronising reader, and a writer that stores a payload losslessly.
 
-Reader: ID3v2 and ID3v1 tags, MPEG-1/2/2.5 layers I to III, Xing/Info tables, CRC-16 of protected frames, exact
-durations in samples, byte offsets of frames. A header counts only if the frame it announces is followed by
+Reader: ID3v2 and ID3v1 tags, MPEG-1/2/2.5 layers I to III, Xing, Info and VBRI tables, CRC-16 of protected frames of all layers, exact
+durations in samples, byte offsets of all frames. A header counts only if the frame it announces is followed by
 another header of the same stream (version, layer, sampling rate) or by the end of the audio; else the search for
 a sync word goes on one byte later, and the bytes skipped are counted.
 
@@ -36,8 +36,8 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 #: What the writer uses.
 UNIT, FRAME, RATE, SAMPLES, SIDE = 192, 240, 48000, 1152, 17
 HEADER = bytes((0xFF, 0xFA, 0x64, 0xC0))
-#: Frames between two rows of the seek table that the reader returns.
-SEEK_EVERY = 64
+#: Fixed values of layer II: the bits of a subband's allocation, from the lowest subband on, as (bits, subbands) runs.
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
 
 
 def _crc_table() -> list[int]:
@@ -60,6 +60,69 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def _crc_of_bits(data: bytes, count: int) -> int:
+    """The CRC of the first ``count`` bits."""
+    crc = crc16(data[: count // 8])
+    for k in range(count // 8 * 8, count):
+        bit = data[k // 8] >> 7 - k % 8 & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ bit else 0)
+    return crc
+
+
+def _allocation_table(version: int, kbit: int, rate: int, channels: int) -> str:
+    each = kbit // channels
+    if version != 3:
+        return "low"
+    if each < 56:
+        return "d" if rate == 32000 else "c"
+    return "a" if rate == 48000 or each < 96 else "b"
+
+
+def guarded_bits(frame: bytes, head: tuple) -> int:
+    """How many bits after the CRC word it guards: side information, or allocation, or allocation and scale factor selection."""
+    version, layer, _, kbit, rate, _, _, channels, side = head
+    if layer == 3:
+        return 8 * side
+    joint = frame[3] >> 6 == 1
+    bound = 4 * (frame[3] >> 4 & 3) + 4 if joint else 32
+    if layer == 1:
+        return 4 * (channels * bound + 32 - bound)
+    body, at, selected = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0
+    widths = [bits for bits, n in ALLOCATION[_allocation_table(version, kbit, rate, channels)] for _ in range(n)]
+    for band, bits in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            at += bits
+            if body >> 512 - at & (1 << bits) - 1:
+                selected += 1 if band < bound else channels
+    return at + 2 * selected
+
+
+def checksum(frame: bytes, head: tuple) -> int:
+    """What the CRC word of a protected frame should be."""
+    bits = guarded_bits(frame, head)
+    return _crc_of_bits((frame[2:4] + frame[6 : 6 + (bits + 7) // 8]).ljust(2 + (bits + 7) // 8, b"\0"), 16 + bits)
+
+
+def _variable_rate(frame: bytes, layer: int, body: int) -> dict | None:
+    """What a Xing, Info or VBRI table in the first frame says: kind, frames, bytes and toc, the bytes of its stretches; body is where the frame's data begins."""
+    if layer != 3:
+        return None
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        _, _, _, size, frames, entries, scale, width, each = struct.unpack(">HHHIIHHHH", frame[40:62])
+        toc = [int.from_bytes(frame[62 + width * k : 62 + width * (k + 1)], "big") * scale for k in range(entries) if 62 + width * (k + 1) <= len(frame)]
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc, "frames_each": each}
+    if frame[body : body + 4] not in (b"Xing", b"Info"):
+        return None
+    flags, found, p = int.from_bytes(frame[body + 4 : body + 8], "big"), {"kind": frame[body : body + 4].decode()}, body + 8
+    for bit, name in ((1, "frames"), (2, "bytes")):
+        if flags & bit:
+            found[name] = int.from_bytes(frame[p : p + 4], "big")
+            p += 4
+    if flags & 4:
+        found["toc"] = list(frame[p : p + 100])
+    return found
+
+
 def parse_header(four: bytes) -> tuple | None:
     """(version, layer, protected, kbit/s, Hz, bytes, samples, channels, side bytes), or None. Free format counts as none."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
@@ -127,7 +190,7 @@ def read(data: bytes, *, keep_bodies: bool = False) -> dict:
 
     Keys: tags, id3v1, version, layer, rate, channels, kbit_min, kbit_max, frames, samples, duration_us (rounded down),
     crc_checked, crc_bad, skipped (bytes that belong to no frame), vbr (the table's frames, bytes and kind, or None),
-    seek (byte offset of every 64th frame) and, if asked for, bodies (after header, CRC and side information).
+    seek (byte offset of every frame) and, if asked for, bodies (after header, CRC and side information).
     """
     start, tags = _tags(data)
     end = len(data) - 128 if len(data) - start >= 128 and data[-128:-125] == b"TAG" else len(data)
@@ -157,32 +220,25 @@ def read(data: bytes, *, keep_bodies: bool = False) -> dict:
             continue
         version, layer, protected, kbit, rate, length, samples, channels, side = head
         body = at + 4 + 2 * protected + side
-        if protected and layer == 3:
-            guarded = data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]
-            crc = checked.get(guarded)
+        if protected:
+            frame = data[at : at + length]
+            # all the guarded bits of layer III; of the others the first 64 bytes hold them
+            guarded = frame[2:4] + frame[6 : 6 + (side or 64)]
+            crc = checked.get((head, guarded))
             if crc is None:
-                crc = crc16(guarded)
+                crc = checksum(frame, head)
                 if len(checked) < 4096:
-                    checked[guarded] = crc
+                    checked[head, guarded] = crc
             out["crc_checked"] += 1
             out["crc_bad"] += crc != data[at + 4] << 8 | data[at + 5]
         if first:
             first = False
             out |= {"version": version, "layer": layer, "rate": rate, "channels": channels, "kbit_min": kbit, "kbit_max": kbit}
-            kind = data[body : body + 4]
-            if layer == 3 and kind in (b"Xing", b"Info"):
-                flags, vbr, p = int.from_bytes(data[body + 4 : body + 8], "big"), {"kind": kind.decode()}, body + 8
-                for bit, name in ((1, "frames"), (2, "bytes")):
-                    if flags & bit:
-                        vbr[name] = int.from_bytes(data[p : p + 4], "big")
-                        p += 4
-                if flags & 4:
-                    vbr["toc"] = list(data[p : p + 100])
-                out["vbr"] = vbr
+            out["vbr"] = _variable_rate(data[at : at + length], layer, body - at)
+            if out["vbr"]:
                 at += length
                 continue
-        if out["frames"] % SEEK_EVERY == 0:
-            out["seek"].append(at)
+        out["seek"].append(at)
         out["frames"] += 1
         out["samples"] += samples
         if kbit < out["kbit_min"]:
@@ -239,7 +295,10 @@ def _understood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def add_audio(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every whole text, null as empty, as UTF-8 with spaces up to a positive multiple of 192, stored."""
+    """(id, n_bytes, media): every whole text, null as empty, as UTF-8 with spaces up to a positive multiple of 192, stored.
+
+    Repeated rows are rows of their own, an empty table gives an empty one, other columns, whatever their names, are left out. Memory follows the longest text.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
     out = map_rows(docs, [field(docs, id_column).alias("__k0"), field(docs, text_column).cast("string").alias("__text")], _stored, f"__k0 {kind}, __k1 bigint, media binary")
     return out.withColumnsRenamed({"__k0": id_column, "__k1": "n_bytes"})
@@ -248,8 +307,9 @@ def add_audio(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
 def read_audio(media: DataFrame, *, media_column: str = "media", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` and what the reader finds in each row's stored bytes.
 
-    seek holds the byte offset of every 64th frame. A null or unreadable value has no frames: counts 0, duration 0,
-    rate and channels null, the hashes those of no bytes. Equal bytes give equal values.
+    seek holds the byte offset of every frame. A null or unreadable value has no frames: counts 0, duration 0,
+    rate and channels null, the hashes those of no bytes. Equal bytes give equal values, also in repeated rows. An empty table gives an empty one. A
+    kept column that has the name of one of the reader's stands beside it.
     """
     keep = [c for c in media.columns if c != media_column] if keep is None else keep
     kinds = [f"__k{i} {media.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
@@ -258,7 +318,7 @@ def read_audio(media: DataFrame, *, media_column: str = "media", keep: list[str]
 
 
 def stored_and_read(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """read_audio(add_audio(docs)) with both steps in one worker: the stored bytes exist for a batch at a time."""
+    """read_audio(add_audio(docs)) with both steps in one worker: the stored bytes exist for a batch at a time. Nulls, repeated rows, empty tables and clashing names as there."""
     kind = docs.schema[id_column].dataType.simpleString()
     columns = [field(docs, id_column).alias("__k0"), field(docs, text_column).cast("string").alias("__text")]
     out = map_rows(docs, columns, lambda batches: _understood(_stored(batches)), f"__k0 {kind}, __k1 bigint, {FEATURES}")

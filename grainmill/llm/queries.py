@@ -40,7 +40,7 @@ def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg_audio.stored_and_read(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_us", "crc_bad")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_us", "crc_bad", "seek")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,12 +194,12 @@ class CachedEncoder:
     That split is by a public pattern that doesn't look back. Where all characters of a text are ASCII or Latin letters, PLAIN
     is the same pattern with the character classes spelt out, and a segment is what the library merges in alone.
     Elsewhere SPACED cuts between a character and the white space after it, which no alternative of the pattern crosses.
-    Each distinct segment goes to the library once and is remembered, up to CACHE segments. Texts with an
+    Each distinct segment goes to the library once and is remembered, up to CACHE segments of CACHE_CHARACTERS in all. Texts with an
     added token's string, or with characters that libraries class differently as white space, go to the library whole, and
     so does everything with another tokenizer.
     """
 
-    CACHE = 1_200_000
+    CACHE, CACHE_CHARACTERS = 1_200_000, 16 << 20
     PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
     NOT_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
     SPACED = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -219,6 +219,7 @@ class CachedEncoder:
         self.width = 2 if max(self.lib.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         self.end = self.pack([end_id])
         self.known: dict[str, bytes] = {}
+        self.characters = 0
 
     def pack(self, ids: list[int]) -> bytes:
         packed = array("H" if self.width == 2 else "I", ids)
@@ -245,9 +246,10 @@ class CachedEncoder:
                 whole.append(k)
         every = set().union(*parts.values())
         new = list(every.difference(self.known))
-        if len(self.known) + len(new) > self.CACHE:
-            self.known = {}
+        if len(self.known) + len(new) > self.CACHE or self.characters + sum(map(len, new)) > self.CACHE_CHARACTERS:
+            self.known, self.characters = {}, 0
             new = list(every)
+        self.characters += sum(map(len, new))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             self.known.update(zip(some, self._encode(some), strict=True))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -93,6 +94,94 @@ def test_media_round_trip(spark, odd, none):
     assert M.read_audio(M.add_audio(none)).count() == 0
 
 
+def bitwise_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 & 1) ^ b else 0)) & 0xFFFF
+    return crc
+
+
+def to_bits(data):
+    return [b >> k & 1 for b in data for k in range(7, -1, -1)]
+
+
+def layered(four, allocation, selected):
+    """A protected frame of layer I or II: header, CRC, bits, zeros."""
+    length = M.parse_header(four)[5]
+    bits = allocation + selected
+    body = bits + [0] * (8 * (length - 6) - len(bits))
+    raw = bytes(int("".join(map(str, body[k : k + 8])), 2) for k in range(0, len(body), 8))
+    return four + bitwise_crc(to_bits(four[2:4]) + bits).to_bytes(2, "big") + raw
+
+
+@pytest.mark.parametrize(
+    ("four", "widths", "shared"),
+    [
+        (bytes((0xFF, 0xFE, 0x80, 0xC0)), [4] * 32, 1),  # layer I, mono
+        (bytes((0xFF, 0xFE, 0x80, 0x00)), [4] * 64, 2),  # layer I, stereo
+        (bytes((0xFF, 0xFE, 0x80, 0x50)), [4] * (2 * 8 + 24), 2),  # layer I, joint stereo from subband 8 on
+        (bytes((0xFF, 0xFC, 0x44, 0xC0)), [4] * 11 + [3] * 12 + [2] * 4, 1),  # layer II, 48 kHz, 64 kbit/s, mono
+        (bytes((0xFF, 0xFC, 0xA0, 0xC0)), [4] * 11 + [3] * 12 + [2] * 7, 1),  # layer II, 44.1 kHz, 192 kbit/s, mono
+        (bytes((0xFF, 0xFC, 0x18, 0xC0)), [4] * 2 + [3] * 10, 1),  # layer II, 32 kHz, 32 kbit/s, mono
+        (bytes((0xFF, 0xFC, 0x14, 0xC0)), [4] * 2 + [3] * 6, 1),  # layer II, 48 kHz, 32 kbit/s, mono
+        (bytes((0xFF, 0xF4, 0x80, 0xC0)), [4] * 4 + [3] * 7 + [2] * 19, 1),  # layer II of MPEG-2, mono
+    ],
+)
+def test_checksums_of_layers_one_and_two(four, widths, shared):
+    random.seed(7)
+    values = [random.randrange(1 << w) if random.random() < 0.6 else 0 for w in widths]
+    allocation = [b for v, w in zip(values, widths, strict=True) for b in map(int, f"{v:0{w}b}")]
+    layer = 4 - (four[1] >> 1 & 3)
+    selected = [random.randrange(2) for v in values if v for _ in range(2)] if layer == 2 else []
+    frames = layered(four, allocation, selected) * 5
+    assert (M.read(frames)["crc_checked"], M.read(frames)["crc_bad"], M.read(frames)["layer"]) == (5, 0, layer)
+    damaged = bytearray(frames)
+    damaged[6] ^= 0x10
+    assert M.read(bytes(damaged))["crc_bad"] == 1
+
+
+def test_joint_stereo_of_layer_two():
+    """Above the bound, two channels share an allocation and have a selection each."""
+    four = bytes((0xFF, 0xFC, 0x84, 0x40))  # 48 kHz, 128 kbit/s, joint stereo from subband 4 on
+    widths = [4] * 8 + [4] * 7 + [3] * 12 + [2] * 4
+    values = [(3 * k + 1) % (1 << w) for k, w in enumerate(widths)]
+    allocation = [b for v, w in zip(values, widths, strict=True) for b in map(int, f"{v:0{w}b}")]
+    selected = [1, 0] * (sum(v > 0 for v in values[:8]) + 2 * sum(v > 0 for v in values[8:]))
+    found = M.read(layered(four, allocation, selected) * 4)
+    assert (found["crc_checked"], found["crc_bad"], found["channels"]) == (4, 0, 2)
+
+
+def test_vbri_table_and_all_seek_offsets():
+    plain = M.encode(b"p" * 192 * 6)
+    start = plain.index(M.HEADER)
+    frame = bytearray(plain[start : start + M.FRAME])
+    frame[36 : 36 + 26 + 6] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 7 * 240, 6, 3, 2, 2, 2) + struct.pack(">HHH", 240, 240, 240)
+    found = M.read(plain[:start] + bytes(frame) + plain[start + M.FRAME :])
+    assert found["vbr"] == {"kind": "VBRI", "frames": 6, "bytes": 1680, "toc": [480, 480, 480], "frames_each": 2}
+    assert found["frames"] == 6 and found["seek"] == [start + M.FRAME * k for k in range(1, 7)] and M.read(plain)["vbr"]["kind"] == "Info"
+
+
+def test_media_and_tokens_of_clashing_names(spark, clash, odd):
+    from pyspark.sql import functions as F
+
+    more = clash.select("*", *(F.lit(1).alias(c) for c in ("__k0", "__k1", "__text", "__m", "media", "seek", "frames", "d", "ids")))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(M.stored_and_read(more)) == plain(M.stored_and_read(odd))
+    path = vocabulary("byte_bpe_50k.json")
+    assert plain(T.tokens_on_disk(more, path)) == plain(T.tokens_on_disk(odd, path)) and T.tokens_on_disk(more.limit(0), path).count() == 0
+
+
+def test_remembered_segments_are_bounded_by_characters():
+    encoder = T.CachedEncoder(vocabulary("byte_bpe_50k.json"), 2)
+    encoder.CACHE_CHARACTERS = 5000
+    texts = [f"w{k}x" * 200 for k in range(60)]
+    first = encoder.encode(texts[:1])
+    for t in texts:
+        encoder.encode([t])
+        assert encoder.characters == sum(map(len, encoder.known)) <= 5000
+    assert encoder.encode(texts[:1]) == first
+
+
 def test_reader_resynchronises_and_checks():
     good = M.encode(b"p" * 192 * 10)
     found = M.read(good[:800] + b"noise \xff\xfb\x90\x00 \xff" + good[800:], keep_bodies=True)
