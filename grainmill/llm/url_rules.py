@@ -1,12 +1,12 @@
 """URL filters as a sort-merge range join.
 
-A host's key is its labels in reverse, each ended by byte 1: ``blog.example.com`` becomes ``com\\1example\\1blog\\1``. A
-rule's host and all its subdomains are then exactly the keys that begin with the rule's key, an interval of the
+A host's key is its labels in reverse, each ended by byte 1: ``blog.example.com`` becomes ``com\\1example\\1blog\\1``; bytes 1 and 2
+inside a label are escaped by byte 2. A rule's host and all its subdomains are then exactly the keys that begin with the rule's key, an interval of the
 sorted keys; intervals nest or are disjoint. URLs and rules are put in one order and swept: a stack holds
-the rules whose interval the sweep is in. A URL takes, from the stack, the longest rule whose path its own path begins
-with.
+the rules whose interval the sweep is in, an entry for each host with its paths by length, so that very many rules of one host cost a look-up for
+each length that they have. A URL takes, from the stack, the longest rule whose path its own path begins with.
 
-Both sides are dealt by range. Cut points come from a bounded sample of the URL keys; a key carries a salt, so that a
+Both sides are dealt by range. Cut points come from a sample of the URL keys, about SAMPLED for each partition, chosen by a hash threshold; a key carries a salt, so that a
 host with very many URLs lies on both sides of cuts. Every rule goes to each partition that its interval touches. The intervals
 that a cut falls into all begin with a prefix of that cut's host, so copies of rules are bounded by the depth of hosts, and no
 rule table is broadcast.
@@ -41,7 +41,8 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "\x01"), F.lit("\x01"))
+    safe = F.replace(F.replace(host, F.lit("\x02"), F.lit("\x02\x12")), F.lit("\x01"), F.lit("\x02\x11"))
+    return F.concat(F.array_join(F.reverse(F.split(safe, r"\.", -1)), "\x01"), F.lit("\x01"))
 
 
 def _end(key: str) -> str:
@@ -49,6 +50,31 @@ def _end(key: str) -> str:
     return key[:-1] + "\x02"
 
 
+class Entry:
+    """The rules of one host: verdicts by path, and the lengths of the paths, longest first."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host = key, host
+        self.verdicts: dict[str, str] = {}
+        self.lengths: list[int] = []
+
+    def add(self, path: str, verdict: str) -> None:
+        # of two equal rules, block wins
+        if self.verdicts.get(path) != "block":
+            self.verdicts[path] = verdict
+        at = bisect_left(self.lengths, -len(path))
+        if at == len(self.lengths) or self.lengths[at] != -len(path):
+            self.lengths.insert(at, -len(path))
+
+    def best(self, path: str) -> tuple[int, int, str, str] | None:
+        """(length, length of the host, rule, verdict) of the longest rule that fits."""
+        for n in self.lengths:
+            start = path[:-n] if n else ""
+            if len(start) == -n and start in self.verdicts:
+                return len(self.host) - n, len(self.host), self.host + start, self.verdicts[start]
+        return None
+
+
 def sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
     """(part, key, kind, id, host, path, verdict), sorted by part, key, kind, to an answer for each URL.
 
@@ -61,15 +87,16 @@ def sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.Record
         for k, (p, key, kind, host, path, verdict) in enumerate(zip(*columns, strict=True)):
             if p != part:
                 part, stack = p, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if kind == 0:
-                stack.append((key, host, path, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(Entry(key, host))
+                stack[-1].add(path, verdict)
                 continue
-            fit = [r for r in stack if path.startswith(r[2])]
-            best = max(fit, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]), r[3] == "block"), default=None)
+            best = max((found for e in stack if (found := e.best(path))), default=None)
             keep.append(k)
-            rules.append(best[1] + best[2] if best else None)
+            rules.append(best[2] if best else None)
             verdicts.append(best[3] if best else default)
         rows = pa.array(keep, pa.int64())
         yield pa.record_batch([batch.column(3).take(rows), batch.column(4).take(rows), batch.column(5).take(rows), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=["i", "host", "path", "rule", "verdict"])
@@ -81,7 +108,8 @@ def apply_rules(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id
     rules has host, path and verdict. Longest is by characters of host and path, then of the host; of two equal rules, block
     wins. A null url, or one without ://, has empty host and path, and only a rule with an empty host would fit: none
     does, it gets the default. Rules with a null or empty host are void, a null path counts as empty.
-    Repeated rows are answered one by one; no rules give all rows the default.
+    Repeated rows are answered one by one; no rules give all rows the default; no pages give an empty table. URLs of any length are
+    read whole. Other columns, whatever their names, are left out.
     """
     spark = session(pages)
     url = field(pages, url_column).cast("string")
@@ -89,8 +117,9 @@ def apply_rules(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id
     urls = pages.select(field(pages, id_column).alias("i"), host_of(url).alias("host"), path_of(url).alias("path"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("salted", F.concat("key", F.lit("\x00"), F.lower(F.hex(F.xxhash64("path", F.col("i").cast("string"))))))
     count = partitions(spark)
-    light = urls.select("salted").withColumn("h", F.xxhash64("salted"))
-    sample = sorted(r.salted for r in light.orderBy("h").limit(SAMPLED * count).collect())
+    total = max(1, pages.count())
+    below = min((1 << 62) - 1, (SAMPLED * count << 62) // total)
+    sample = sorted(r.salted for r in urls.select("salted").where(F.shiftrightunsigned(F.xxhash64("salted"), 2) <= F.lit(below)).collect())
     cuts = sorted({sample[len(sample) * i // count] for i in range(1, count)}) if sample else []
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +144,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id
     right = rules.where("host <> ''").select(host.alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.col("verdict"))
     right = right.withColumn("key", host_key(F.col("host"))).mapInArrow(copies, schema)
     both = left.unionByName(right, allowMissingColumns=True)
-    both = both.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "key", "kind")
+    both = both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "key", "kind")
     out = both.mapInArrow(lambda batches: sweep(batches, default), f"i {kind}, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("i", id_column)
 

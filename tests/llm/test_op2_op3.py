@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from grainmill.llm import language_id as G
 from grainmill.llm import url_rules as U
@@ -22,16 +23,12 @@ def fitted(spark):
 
 def test_held_out_accuracy(fitted):
     docs, model = fitted
-    from pyspark.sql import functions as F
-
     found = G.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(~G.learnable(F.col("doc_id"))).toPandas()
     assert len(found) > 250 and (found.lang_pred == found.lang).mean() > 0.97 and found.rejected.mean() < 0.01
     assert found.score.between(0, 1).all()
 
 
 def test_held_out_rows_teach_nothing(spark, fitted):
-    from pyspark.sql import functions as F
-
     docs, model = fitted
     other = docs.withColumn("lang", F.when(G.learnable(F.col("doc_id")), F.col("lang")).otherwise("xx"))
     again = G.fit(other)
@@ -161,12 +158,33 @@ def test_rules_equal_brute_force(spark):
         rows.append((k, f"http://{host.upper() if k % 5 == 0 else host}" + random.choice(["", "/", "/en/x", "/en", "/de/y?q=/en/", "?a", "#b", "/de/#x"])))
     rows += [(600, None), (601, ""), (602, "no scheme/en/"), (603, "x://"), (None, "http://a.net/"), (604, "http://a..net/"), (604, "http://a..net/")]
     rows += [(1000 + k, "http://hot.net/en/") for k in range(500)]
+    rows += [(2000, "http://net\x01x/a"), (2001, "http://a\x01net/"), (2002, "http://x.a\x02.net/"), (2003, "http://net\x02\x11/"), (2004, "http://a\x01.net/en/"), (2005, "http://b.net/" + "en/" * 100_000), (2006, "http://" + "a." * 20_000 + "net/")]
     rules = sorted({(".".join(random.choice(labels) for _ in range(random.randrange(1, 4))), random.choice(["", "/", "/en/", "/de/"]), random.choice(["allow", "block"])) for _ in range(40)})
     rules = list({(h, p): (h, p, v) for h, p, v in rules}.values()) + [("hot.net", "/", "block"), ("hot.net", "/", "allow")]
     got = U.apply_rules(spark.createDataFrame(rows, "page_id bigint, url string"), U.rule_table(spark, rules)).collect()
     assert sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(str((k, *brute(u, rules))) for k, u in rows)
 
 
+def test_very_many_rules_of_one_host(spark):
+    import time
+
+    entry = U.Entry("net\x01", "net")
+    for k in range(200_000):
+        entry.add(f"/p{k:06}/", "block")
+    entry.add("/p00", "allow")
+    began = time.process_time()
+    assert all(entry.best(f"/p{k:06}/x")[2] == f"net/p{k:06}/" for k in range(50_000)) and entry.best("/p00x")[3] == "allow" and entry.best("/q") is None
+    assert time.process_time() - began < 2
+
+
+def test_clashing_names(spark):
+    rows = [(k, f"http://a{k % 5}.net/en/{k}") for k in range(50)] + [(None, None), (1, "http://a1.net/en/1")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string")
+    clash = frame.select("*", *(F.lit(1).alias(c) for c in ("part", "key", "kind", "i", "host", "path", "verdict", "rule", "salted", "a.b")))
+    want = sorted(map(str, U.apply_rules(frame, U.rule_table(spark)).collect()))
+    assert sorted(map(str, U.apply_rules(clash, U.rule_table(spark)).collect())) == want and len(want) == len(rows)
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", 5)], "page_id bigint, url string, part int")
     none = U.rule_table(spark, [("", "/", "block")])
