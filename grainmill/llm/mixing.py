@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Every row gets a hash-random key from the MD5 of its id, so equal intervals of the key space hold about equal
+Every row gets a hash-random key from the MD5 of its id and text, so equal intervals of the key space hold about equal
 numbers of rows. Rows are dealt by (source, interval): a range sort without sampling in which a source with a third of all
 rows spreads over as many intervals as its size asks for. The prefix sum of token counts has three levels:
 inside an interval, over the intervals of a group, over the groups of a source. Only sums go between them.
@@ -58,16 +58,17 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     last, part epoch rows are taken in key order until the budget is used up: the row at the cut gives just the words that are
     missing, so every budget is met exactly. With carry, the column ``row`` holds the whole input row.
 
-    Null and empty texts have size 0 and taken 0. Null is a source of its own, other than ''. Null ids have a
-    key like any other. Rows that share an id are ordered by size and by their text's MD5; equal rows are interchangeable.
+    Null and empty texts have size 0 and taken 0. Null is a source of its own, other than ''. Null ids and
+    repeated ids have keys like any other, since the text is part of the key; rows equal in id and text are interchangeable.
     If there are no words, all targets are 0. Columns of other names stay out of the way: they travel inside ``row``.
     """
     spark = docs.sparkSession
     ident, text, source = field(docs, id_column), field(docs, text_column).cast("string"), field(docs, source_column).cast("string")
-    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("null")))
+    text_digest = F.md5(F.coalesce(text, F.lit("")))
+    digest = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(" "), text_digest))
     key = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     src = F.concat(F.when(source.isNull(), "0").otherwise("1"), F.coalesce(source, F.lit("")))
-    columns = [ident.alias("__id"), source.alias("__source"), src.alias("__src"), words(text).alias("size"), digest.alias("__digest"), key.alias("__key"), F.md5(F.coalesce(text, F.lit(""))).alias("__text")]
+    columns = [ident.alias("__id"), source.alias("__source"), src.alias("__src"), words(text).alias("size"), digest.alias("__digest"), key.alias("__key")]
     rows = docs.select(*columns, *([F.struct(*(field(docs, c) for c in docs.columns)).alias("row")] if carry else []))
     if not carry:
         rows = written(rows, "mix-sizes")
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)))
     starts = starts.join(groups, ["__src", "__group"]).join(targets, "__src")
     starts = starts.select("__src", "__at", (F.col("__group_start") + F.col("__start")).alias("__start"), "source_size", "target")
-    ahead = W.partitionBy("__src", "__at").orderBy("__digest", "size", "__text").rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy("__src", "__at").orderBy("__digest").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.drop("__group", "__source", "__key").withColumn("__inside", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     rows = rows.join(starts, ["__src", "__at"])
     budget = F.least(F.floor(F.col("target") + 0.5).cast("bigint"), F.col("source_size") * most_epochs)
@@ -103,7 +104,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k, md5(coalesce(text, '')) AS t,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || md5(coalesce(text, ''))) AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
              row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source),
@@ -114,7 +115,7 @@ c AS (SELECT *, rest::DOUBLE * weight > cap::DOUBLE * weights AS capped FROM o),
 l AS (SELECT rest, weights FROM c WHERE NOT capped ORDER BY cap / weight, turn LIMIT 1),
 t AS (SELECT c.source, c.source_size, least(cap::DOUBLE, CASE WHEN capped THEN cap::DOUBLE ELSE l.rest::DOUBLE * weight / l.weights END) AS target FROM c, l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target + 0.5)::BIGINT, 3 * t.source_size) AS budget,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size, d.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size
