@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,19 +20,26 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches bounded by rows and by bytes."""
+    """The frame's session, with Arrow batches bounded by rows and by bytes.
+
+    Plans take these settings when they run, after an operator has returned, so they are not put back; a setting that the caller has made stays.
+    """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, spark_own, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        found = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if found is None or found == spark_own or spark_own is None and int(re.sub(r"\D", "", found) or 0) > ours:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(ours))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset and everything runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="grainmill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
@@ -42,14 +51,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/grainmill/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written in this process, the innermost scratch() last.
+_MADE: list[list[str]] = [[]]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors."""
+    """The same rows from a Parquet table in the shared folder: computed once, lineage cut, safe against lost executors. cleanup() or the scratch() around it removes the table."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _MADE[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this process from the shared folder; results that weren't saved can't be computed any more."""
+    for paths in _MADE:
+        _removed(spark, paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the intermediate tables written inside: for code that saves its result before."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        _removed(spark, _MADE.pop())
+
+
 def map_rows(df: DataFrame, columns: list, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """Arrow batches of the columns through fn."""
     session(df)
