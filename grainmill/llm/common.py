@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +35,18 @@ def session(df: DataFrame) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset and everything runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="grainmill-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        found = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (found or _own_dir(spark.sparkContext.master)).rstrip("/")
+
+
+@lru_cache
+def _own_dir(master: str) -> str:
+    """A temporary folder for a session on one machine, removed at exit."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="grainmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -87,6 +89,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _removed(spark, _MADE.pop())
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make() from a written table; the intermediate tables that make() needed go."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        made = make()
+        made.write.parquet(path)
+    _MADE[-1].append(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def map_rows(df: DataFrame, columns: list, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """Arrow batches of the columns through fn."""
     session(df)

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from grainmill.llm import components as K
 from grainmill.llm import containment as B
@@ -176,13 +177,115 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got() == want
 
 
-def test_one_of_each(spark, clash, none):
-    rows = near_rows()
+def plain_wide(text, prints=4, keys=3):
+    """Votes counted bit by bit; the least shingle under each hash function."""
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+
+    def other(h, n):
+        if n:
+            h = (h * (0x9E3779B97F4A7C15 + 2 * n) + n) % 2**64
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+            h ^= h >> 31
+        return h
+
+    own = [[other(h, n) for h in hashes] for n in range(prints)]
+    fps = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in own]
+    return fps, [min((other(h, 100 + n) for h in hashes), default=-1) for n in range(keys)]
+
+
+def classes(rows, limit):
+    """All pairs: the smallest id of each id's class."""
+    wide, ids, parent = [plain_wide(t) for _, t in rows], [i for i, _ in rows], {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for k, (fps, least) in enumerate(wide):
+        for j in range(k):
+            other, others = wide[j]
+            if ids[k] is not None and ids[j] is not None and any(x == y for x, y in zip(least, others, strict=True)) and sum((x ^ y).bit_count() for x, y in zip(fps, other, strict=True)) <= limit:
+                a, b = sorted((find(ids[k]), find(ids[j])))
+                parent[b] = a
+    return {i: find(i) for i in ids if i is not None}
+
+
+def some_rows():
+    random.seed(4)
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()][:90]
+    for k, (_, text) in enumerate([r for r in rows if 400 < len(r[1]) < 4000][:4]):
+        for j in range(25):
+            words = text.split(" ")
+            for _ in range(random.randrange(1 + len(words) // 30)):
+                words[random.randrange(len(words))] = f"new{random.randrange(9)}"
+            rows.append((10_000 + 1000 * k + j, " ".join(words)))
+    return rows + [(5, "other words"), (None, rows[3][1]), (None, "words of its own"), (20_000, None), (20_001, ""), (20_002, " . "), (20_003, "OTHER  words")]
+
+
+def test_wide_fingerprints():
+    for text in ("The quick BROWN fox\tjumps over É the lazy dog " * 3, "Two Words", "x " * 3000, None, " \n"):
+        fps, least = S.wide_fingerprint(text, 5, 42, 4, 3)
+        want = plain_wide(text)
+        assert fps.tolist() == want[0] and (least.tolist() == want[1] or want[1] == [-1] * 3)
+    assert S.wide_fingerprint("a b c d e f", 4, 42, 1)[0][0] == S.fingerprint("a b c d e f")
+
+
+def test_similar_documents_equal_brute_force(spark, monkeypatch):
+    rows = some_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = classes(rows, S.bit_limit(0.8, 4))
+    got = lambda: {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
+    assert got() == want and len(set(want.values())) < len(want) - 30
+    monkeypatch.setattr(S, "HOT", 5)  # chunks of hot partitions give the same
+    assert got() == want
+
+
+def test_recall_of_similar_texts(spark):
+    """Pairs whose five-word shingles have a Jaccard similarity of 0.8 or more are found in nine cases of ten; of half as similar ones, one in a hundred at most."""
+    random.seed(11)
+    rows, similarity = [], {}
+    for k in range(600):
+        words = [f"w{random.randrange(3000)}" for _ in range(random.choice((60, 200, 600)))]
+        copy = list(words)
+        for _ in range(max(1, round(len(words) * random.choice((0.005, 0.012, 0.02, 0.1))))):
+            copy[random.randrange(len(copy))] = f"n{random.random()}"
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (words, copy))
+        similarity[k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    found = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near, far = ([found[2 * k + 1] == 2 * k for k, s in similarity.items() if lo <= s < hi] for lo, hi in ((0.8, 2), (0, 0.55)))
+    assert len(near) > 200 and np.mean(near) >= 0.9 and len(far) > 100 and np.mean(far) <= 0.01
+    assert all(v in (i, i - 1) for i, v in found.items())
+
+
+def test_one_of_each(spark, odd, clash, none):
+    rows = some_rows()
     out = S.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     kept = [r.doc_id for r in out.collect()]
-    want = {g.split(", ")[2].rstrip(")") for g in groups(rows)}
-    assert {str(k) for k in kept if k is not None} == want - {"None"} and len(set(kept)) + 1 == len(kept)
+    want = set(classes(rows, S.bit_limit(0.8, 4)).values())
+    assert {k for k in kept if k is not None} == want and len(kept) == len(want) + 2
     assert S.one_of_each(clash).columns == clash.columns and S.near_duplicates(none).count() == 0
+    more = clash.toDF(*clash.columns[:-3], "gone", "c0", "c1")
+    assert S.one_of_each(more).columns == more.columns
+    ids = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
+    assert ids(S.one_of_each(more)) == ids(S.one_of_each(odd)) and S.one_of_each(none).count() == 0
+    plain = lambda df: sorted(map(str, S.near_duplicates(df).collect()))
+    assert plain(clash) == plain(odd)
+
+
+def test_pivots_discard_before_the_distance(spark):
+    """Of the pairs that meet under a block key, the table leaves few; it loses no link."""
+    fps = np.array([[S.fingerprint(t)] for t in {r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}], np.uint64)
+    table = S.pivot_table(fps, S.pivot_fingerprints())
+    i, j = np.triu_indices(len(fps), 1)
+    a, b = S.left_by_pivots(table, i, j, 4)
+    left = set(zip(a.tolist(), b.tolist(), strict=True))
+    near = np.bitwise_count(fps[i, 0] ^ fps[j, 0]) <= 4
+    assert set(zip(i[near].tolist(), j[near].tolist(), strict=True)) <= left and len(left) < len(i) / 1000
 
 
 def test_components_of_chains(spark):
