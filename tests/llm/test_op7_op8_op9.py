@@ -31,7 +31,7 @@ def brute(docs, items):
     return sorted(out)
 
 
-def test_containment_equals_brute_force(spark, odd):
+def test_containment_equals_brute_force(spark, odd, monkeypatch):
     random.seed(6)
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()] + [(r.doc_id, r.text) for r in odd.collect()]
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()] + [(900, None), (901, ""), (902, "Words"), (None, "two lines"), (903, "!!")]
@@ -42,8 +42,15 @@ def test_containment_equals_brute_force(spark, odd):
             for at in random.sample(range(len(v)), min(broken, len(v))):
                 v[at] = "changed"
             docs.append((5000 + 10 * k + broken, f"before. {' '.join(v).upper()}, after" + " tail" * random.randrange(3000)))
-    got = B.find(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert sorted(str((r.doc_id, r.item_id, r.n_shared, r.n_shingles)) for r in got) == brute(docs, items)
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute(docs, items)
+    got = lambda: sorted(str((r.doc_id, r.item_id, r.n_shared, r.n_shingles)) for r in B.find(*frames).collect())
+    assert got() == want
+    # beyond the size of an index: signatures are joined; in blocks
+    monkeypatch.setattr(B, "BLOCK_BYTES", 0)
+    assert got() == want
+    monkeypatch.setattr(B, "SIGNATURES", 100)
+    assert got() == want
 
 
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
@@ -55,11 +62,14 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({w.split("doc_id=")[1].split(",")[0] for w in want})
 
 
-def test_containment_of_odd_tables(spark, odd, none, clash):
+@pytest.mark.parametrize("block", [4 << 20, 0])
+def test_containment_of_odd_tables(spark, odd, none, clash, monkeypatch, block):
+    monkeypatch.setattr(B, "BLOCK_BYTES", block)
     items = spark.createDataFrame([(1, "two lines and more of them")], "item_id bigint, text string")
     assert {r.doc_id for r in B.find(odd, items).collect()} == {1}
     assert B.find(none, items).count() == 0 and B.find(odd, items.limit(0)).count() == 0
-    assert B.decontaminated(clash, items).count() == clash.count() - 2
+    assert B.decontaminated(clash, items).count() == clash.count() - 2 and B.decontaminated(clash, items).columns == clash.columns
+    assert B.decontaminated(none, items).count() == 0 and B.decontaminated(odd, items.limit(0)).count() == odd.count()
 
 
 def water(sizes, weights):
