@@ -42,6 +42,8 @@ from grainmill.llm.components import components
 PIVOTS, HOT, SMALL_RUN = 16, 8192, 64
 #: Of similar_documents(): fingerprints of a text, pivots of each, keys by least shingles.
 PRINTS, WIDE_PIVOTS, KEYS = 4, 64, 3
+#: Bytes of ids that are sent to all tasks.
+BROADCAST_BYTES = 32 << 20
 #: Shingles hashed before their bits are counted: bounds memory for long texts.
 SHINGLE_BLOCK = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -235,11 +237,11 @@ def _answer(of, t: pa.Table, pivots: np.ndarray, prints: int) -> pa.RecordBatch:
     return pa.record_batch([a, b], names=["a", "b"])
 
 
-def _linked(rows: DataFrame, limit: int, prints: int, pivots: int) -> DataFrame:
-    """(key, f0, ..., node) to links (a, b) that join the same nodes as all links between rows of one key do. Keys of more than HOT rows are dealt into chunks, and pairs of chunks are tasks."""
+def _linked(rows: DataFrame, limit: int, prints: int, pivots: int, most: int) -> DataFrame:
+    """(key, f0, ..., node) to links (a, b) that join the same nodes as all links between rows of one key do. Keys of more than ``most`` rows are dealt into chunks, and pairs of chunks are tasks."""
     fs = [f"f{k}" for k in range(prints)]
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-    hot = hot.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("chunks"))
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    hot = hot.select("key", F.ceil(F.col("n") / most).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64(*fs), F.col("chunks")).cast("int")
     rows = rows.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", chunk)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -264,7 +266,7 @@ def block_keys(fp: Column, count: int, radius: int) -> list[Column]:
 def near_links(nodes: DataFrame, radius: int, count: int) -> DataFrame:
     """(fp, node), one row for each fingerprint, to links (a, b) that join the same nodes as all links within radius do."""
     rows = nodes.select(F.col("fp").alias("f0"), "node", F.explode(F.array(*block_keys(F.col("fp"), count, radius))).alias("key"))
-    return _linked(rows, radius, 1, PIVOTS)
+    return _linked(rows, radius, 1, PIVOTS, HOT)
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
@@ -317,7 +319,7 @@ def similar_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column
     rows = written(rows, "wide-fingerprints")
     nodes = written(rows.groupBy(*fs).agg(F.min("doc_id").alias("node"), *(F.min(m).alias(m) for m in ms)), "wide-nodes")
     keyed = nodes.select(*fs, "node", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col(m)) for k, m in enumerate(ms)))).alias("key"))
-    links = _linked(keyed, bit_limit(similarity, prints), prints, WIDE_PIVOTS)
+    links = _linked(keyed, bit_limit(similarity, prints), prints, WIDE_PIVOTS, max(1, HOT // 8))
     own = rows.select("doc_id", *fs).join(nodes.select(*fs, "node"), fs).select("doc_id", "node")
     own = written(own, "wide-members")
     # one id with several fingerprints: its rows are one document
@@ -336,10 +338,18 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     ident, text = (f"c{docs.columns.index(c)}" for c in (id_column, text_column))
     found = similar_documents(flat, id_column=ident, text_column=text, **options)
     gone = found.where(F.col(ident) != F.col("component_id")).select(F.col(ident).alias("gone"))
-    twice = flat.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("gone")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gone")
-    # few ids leave or repeat: texts move only if these are too many to be sent to all
-    plain = flat.join(gone.union(twice), F.col(ident) == F.col("gone"), "left_anti")
-    first = flat.join(twice, F.col(ident) == F.col("gone"), "left_semi").join(gone, F.col(ident) == F.col("gone"), "left_anti")
+    twice = written(flat.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("gone")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gone"), "repeated-ids")
+    left = written(gone.union(twice), "leaving-ids")
+
+    def sized(ids: DataFrame) -> DataFrame:
+        """To all tasks, where the ids measure up to the bound: then no text is moved. Beyond it both sides of the join are."""
+        size = ids.agg(F.coalesce(F.sum(F.octet_length(F.col("gone").cast("string")) + 32), F.lit(0))).first()[0]
+        return F.broadcast(ids) if size <= BROADCAST_BYTES else ids
+
+    plain = flat.join(sized(left), F.col(ident) == F.col("gone"), "left_anti")
+    if not twice.limit(1).count():
+        return plain.toDF(*docs.columns)
+    first = flat.join(sized(twice), F.col(ident) == F.col("gone"), "left_semi").join(gone, F.col(ident) == F.col("gone"), "left_anti")
     sortable = [f.name for f in flat.schema if f.name != text and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     order = W.partitionBy(ident).orderBy(F.xxhash64(text), *sortable)
     first = first.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
