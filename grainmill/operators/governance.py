@@ -11,20 +11,35 @@ from grainmill.functions.canonical import canonical
 
 
 def multiset_fingerprint(values: DataFrame, column: str) -> DataFrame:
-    """(count, sum, xor): equal for equal multisets, whatever the order. The sums are over the SHA-256's eight 32-bit words."""
+    """(count, sum, xor): equal for equal multisets, whatever the order. The sum of the SHA-256 values modulo 2 ** 256, added up in eight decimal words, and their xor; nulls don't count."""
     h = F.sha2(F.col(column), 256)
-    word = [F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(8)]
-    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    sums = F.concat(*(hexed(F.coalesce(F.sum(w), F.lit(0))) for w in word))
-    xors = F.concat(*(F.lower(F.lpad(F.hex(F.coalesce(F.bit_xor(w), F.lit(0).cast("bigint"))), 8, "0")) for w in word))
-    return values.agg(F.count(column).alias("count"), sums.alias("sum"), xors.alias("xor"))
-
-
-def set_fingerprint(values: DataFrame, column: str, groups: int = 256) -> DataFrame:
-    """(count, fingerprint): distinct values hashed in two levels, by the first hash digits and then over these, so that no task needs all of them."""
+    word = [F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)") for k in range(8)]
+    sums = [F.coalesce(F.sum(w), F.lit(0).cast("decimal(30,0)")).alias(f"w{k}") for k, w in enumerate(word)]
+    xors = [F.lower(F.lpad(F.hex(F.coalesce(F.bit_xor(w.cast("bigint")), F.lit(0).cast("bigint"))), 8, "0")) for w in word]
+    found = values.agg(F.count(column).alias("count"), *sums, F.concat(*xors).alias("xor"))
+    base, carry, digits = F.lit(1 << 32).cast("decimal(20,0)"), F.lit(0).cast("decimal(30,0)"), []
+    for k in range(7, -1, -1):
+        total = (F.col(f"w{k}") + carry).cast("decimal(38,0)")
+        digits.insert(0, F.lower(F.lpad(F.hex((total % base).cast("bigint")), 8, "0")))
+        carry = F.floor(total / base).cast("decimal(30,0)")
+    return found.select("count", F.concat(*digits).alias("sum"), "xor")
+
+
+def set_fingerprint(values: DataFrame, column: str, group_values: int = 4096) -> DataFrame:
+    """(count, fingerprint): distinct values hashed level by level, by their first hash digits, so that no task has more than some thousands of them together: two digits for up to 256 groups, three more
+    for each further level that the number of values asks for."""
     h = values.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct()
-    level = h.groupBy(F.substring("h", 1, len(f"{groups - 1:x}")).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
+    n, digits = h.count(), 2
+    while n > group_values * 16**digits:
+        digits += 3
+    level = h.select(F.col("h").alias("g"), F.col("h").alias("d"), F.lit(1).cast("bigint").alias("n"))
+    while True:
+        folded = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n"), 256)
+        counted = F.coalesce(F.sum("n"), F.lit(0)).alias("n" if digits else "count")
+        if not digits:
+            return level.agg(counted, folded.alias("fingerprint"))
+        level = level.groupBy(F.substring("g", 1, digits).alias("p")).agg(counted, folded.alias("d")).select(F.col("p").alias("g"), "d", "n")
+        digits -= 3 if digits > 2 else 2
 
 
 def split_audit(assignments: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grainmill.functions import text as X
+from grainmill.operators import graphs
 from grainmill.operators.ranking import global_rank, hash_group
 
 
@@ -113,14 +114,16 @@ def first_of_each(rows: DataFrame, group: list[str], order: list[str]) -> DataFr
 
 
 def quota_order(rows: DataFrame, stratum: list[str], digest: str) -> DataFrame:
-    """Adds ``position``: one row of every stratum first, rare strata before common ones, then the rest interleaved at centred quantiles."""
-    own = W.partitionBy(*stratum)
+    """Adds ``position``: one row of every stratum first, rare strata before common ones, then the rest interleaved at centred quantiles. A stratum is ranked by intervals of its digests, whatever its size."""
     label = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in stratum)), 256)
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(own)).withColumn("__k", F.row_number().over(own.orderBy(digest)) - 1).withColumn("__s", label)
+    n = rows.count()
+    rows = rows.withColumn("__s", label).withColumn("__g", hash_group(F.col(digest), n))
+    sizes = rows.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
+    rows = global_rank(rows, "__g", [F.col(digest)], "__k", by=["__s"]).join(sizes, "__s")
     quantile = F.when(F.col("__k") == 0, F.lit(-1.0)).otherwise((2 * F.col("__k") - 1) / (2.0 * (F.col("__n") - 1)))
     tie = F.when(F.col("__k") == 0, F.col("__s")).otherwise(F.sha2(F.concat_ws("|", "__s", digest), 256))
     rows = rows.withColumn("__q", quantile).withColumn("__t", tie).withColumn("__size", F.when(F.col("__k") == 0, F.col("__n")).otherwise(0))
-    rows = rows.withColumn("__g", F.floor(F.col("__q") * 256))
+    rows = rows.withColumn("__g", F.floor(F.col("__q") * max(256, n // 4096)))
     return global_rank(rows, "__g", [F.col("__q"), F.col("__size"), F.col("__t"), F.col(digest)], "position").drop("__n", "__k", "__s", "__q", "__t", "__size", "__g")
 
 
@@ -130,9 +133,11 @@ def spread_positions(total: int, count: int) -> Column:
 
 
 def balanced(rows: DataFrame, bucket: str, order: list[str], limit: int) -> DataFrame:
-    """Round robin over buckets in hash order, each bucket in its own order, ``limit`` rows in all."""
-    turn = F.row_number().over(W.partitionBy(bucket).orderBy(*order))
-    return rows.withColumn("turn", turn).withColumn("__b", F.sha2(F.col(bucket).cast("string"), 256)).orderBy("turn", "__b").limit(limit).drop("__b")
+    """Round robin over buckets in hash order, each bucket in its own order, ``limit`` rows in all. A bucket's first rows are found in parts, then among these."""
+    part = W.partitionBy(bucket, "__p").orderBy(*order)
+    first = rows.withColumn("__p", F.pmod(F.xxhash64(*order), F.lit(64))).withColumn("turn", F.row_number().over(part)).where(F.col("turn") <= limit)
+    first = first.withColumn("turn", F.row_number().over(W.partitionBy(bucket).orderBy(*order))).where(F.col("turn") <= limit)
+    return first.withColumn("__b", F.sha2(F.col(bucket).cast("string"), 256)).orderBy("turn", "__b").limit(limit).drop("__b", "__p")
 
 
 def select_files(files: DataFrame, seed: int, k: int, path: str = "path") -> DataFrame:
@@ -141,41 +146,83 @@ def select_files(files: DataFrame, seed: int, k: int, path: str = "path") -> Dat
 
 
 def curriculum(rows: DataFrame, score: str, prompt: str, target: str) -> DataFrame:
-    """Adds ``position``: easy rows first, ties by SHA-1 of target, NUL and prompt."""
-    tie = F.sha1(F.concat(F.col(target), F.lit("\0"), F.col(prompt)))
-    return global_rank(rows.withColumn("__t", tie), score, [F.col("__t")], "position").drop("__t")
+    """Adds ``position``: easy rows first, ties by SHA-1 of target, NUL and prompt. Rows of one score are ranked by intervals of that hash."""
+    rows = rows.withColumn("__t", F.sha1(F.concat(F.col(target), F.lit("\0"), F.col(prompt))))
+    rows = rows.withColumn("__g", F.struct(F.col(score).alias("s"), hash_group(F.col("__t"), rows.count()).alias("h")))
+    return global_rank(rows, "__g", [F.col("__t")], "position").drop("__t", "__g")
+
+
+def difficulty(prompt: Column, target: Column, tools: Column) -> Column:
+    """How hard a decision is: calls in its target, longer prompts and larger catalogs count; plain text is easiest."""
+    calls = F.regexp_count(target, F.lit("<tool_call>"))
+    return calls * 4 + F.log2(1 + F.length(prompt) / 256.0) + F.log2(1.0 + F.coalesce(F.size(tools), F.lit(0)))
+
+
+#: Distinct sets of strata that the driver may hold while it covers them.
+COVER_SETS = 100_000
 
 
 def greedy_cover(rows: DataFrame, key: str, strata: str, limit: int) -> list:
     """Keys that together show every stratum: each time the row with most strata not yet shown, ties by the key's hash; then filled up by hash.
 
-    The state is the set of strata, which is small by nature; the best row of a round is found by Spark.
+    Rows with the same strata are alike but for their hash, so one row stands for each set of strata, and these sets, which are few by nature, are covered on the driver; more than
+    COVER_SETS are an error. Coverage that needs more than ``limit`` rows is one too.
     """
-    shown: list[str] = []
-    chosen: list = []
-    every = {r[0] for r in rows.select(F.explode(strata)).distinct().collect()}
-    ranked = rows.withColumn("__h", F.sha2(F.col(key).cast("string"), 256))
-    while set(shown) != every:
-        new = F.size(F.array_except(strata, F.array(*map(F.lit, shown)).cast("array<string>")))
-        best = ranked.withColumn("__new", new).orderBy(F.col("__new").desc(), "__h").first()
-        chosen.append(best[key])
-        shown = sorted({*shown, *best[strata]})
+    ranked = rows.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(strata)).alias("s"), F.sha2(F.col(key).cast("string"), 256).alias("h"))
+    sets = ranked.groupBy("s").agg(F.min(F.struct("h", "k")).alias("first"))
+    found = sets.limit(COVER_SETS + 1).collect()
+    if len(found) > COVER_SETS:
+        raise ValueError("too many sets of strata")
+    left = {r["first"]["h"]: (r["first"]["k"], frozenset(r["s"])) for r in found}
+    missing, chosen, taken = frozenset().union(*(s for _, s in left.values())), [], []
+    while missing:
+        h = min(left, key=lambda h: (-len(left[h][1] & missing), h))
+        chosen.append(left[h][0])
+        taken.append(h)
+        missing -= left.pop(h)[1]
         if len(chosen) > limit:
             raise ValueError("coverage needs more rows than allowed")
-    rest = ranked.where(~F.col(key).isin(chosen)).orderBy("__h").limit(limit - len(chosen)) if limit > len(chosen) else None
-    return chosen + ([r[key] for r in rest.collect()] if rest is not None else [])
+    rest = ranked.where(~F.col("h").isin(taken)).orderBy("h").limit(limit - len(chosen))
+    return chosen + ([r["k"] for r in rest.select("k").collect()] if limit > len(chosen) else [])
+
+
+def confirmatory(rows: DataFrame, key: str, *, semantic: str, prompts: str, strata: str, primary: int, confirm: int) -> DataFrame:
+    """(key, part): a covering primary selection and, from the rows that share neither its semantic hashes nor any of its prompts (an array of hashes), a covering confirmation."""
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    first = greedy_cover(rows, key, strata, primary)
+    chosen = spark.createDataFrame([(k,) for k in first], f"{key} {kind}")
+    own = rows.join(F.broadcast(chosen), key)
+    # at most ``primary`` rows
+    seen_rows, seen_prompts = own.select(semantic).distinct(), own.select(F.explode(prompts).alias("__p")).distinct()
+    hit = rows.select(key, F.explode(prompts).alias("__p")).join(F.broadcast(seen_prompts), "__p", "left_semi").select(key).distinct()
+    rest = rows.join(F.broadcast(seen_rows), semantic, "left_anti").join(hit, key, "left_anti")
+    second = greedy_cover(rest, key, strata, confirm) if rest.limit(1).count() else []
+    return spark.createDataFrame([(k, "primary") for k in first] + [(k, "confirm") for k in second], f"{key} {kind}, part string")
+
+
+def bounded_shuffle(rows: DataFrame, position: str, seed: int, buffer: int) -> DataFrame:
+    """Adds ``shuffled``, an order in which no row moves farther than ``buffer`` places: rows change places by hash inside stretches of that many."""
+    stretch = F.floor(F.col(position) / buffer)
+    turn = F.row_number().over(W.partitionBy("__b").orderBy(seeded(seed, F.col(position)), position))
+    return rows.withColumn("__b", stretch).withColumn("shuffled", (F.col("__b") * buffer + turn - 1).cast("bigint")).drop("__b")
+
+
+def widen(base: DataFrame, extra: DataFrame, guards: DataFrame, *, key: str, prompts: str, size: Column, most: int, cap: int, seed: int) -> DataFrame:
+    """The base and at most ``cap`` extra rows, the first by seeded hash, none of whose prompts (an array of hashes) is guarded (prompt) and that fit into ``most``. Rows without prompts don't count as extra. Adds ``added``."""
+    flat = extra.select(F.col(key).alias("__k"), F.explode(prompts).alias("prompt"))
+    hit = flat.join(guards.select("prompt").distinct(), "prompt", "left_semi").select("__k").distinct()
+    fit = extra.where((size <= most) & (F.size(prompts) > 0)).join(hit, F.col(key) == F.col("__k"), "left_anti")
+    chosen = fit.orderBy(seeded(seed, F.col(key)), key).limit(cap)
+    return base.withColumn("added", F.lit(False)).unionByName(chosen.withColumn("added", F.lit(True)))
 
 
 def disjoint_groups(rows: DataFrame, key: str, hashes: str, checkpoint) -> DataFrame:
     """(key, root): rows that share a hash, directly or through others, get the smallest hash that any of them has."""
     flat = checkpoint(rows.select(F.col(key).alias("k"), F.explode(hashes).alias("h")).distinct())
-    root = checkpoint(flat.groupBy("k").agg(F.min("h").alias("root")))
-    while True:
-        low = flat.join(root, "k").groupBy("h").agg(F.min("root").alias("m"))
-        new = checkpoint(flat.join(low, "h").groupBy("k").agg(F.min("m").alias("root")))
-        if not new.join(root.withColumnRenamed("root", "old"), "k").where("root <> old").limit(1).count():
-            return new.withColumnRenamed("k", key)
-        root = new
+    least = flat.groupBy("k").agg(F.min("h").alias("m"))
+    roots = graphs.components(flat.join(least, "k").select(F.col("h").alias("a"), F.col("m").alias("b")), checkpoint)
+    found = least.join(roots, F.col("m") == F.col("node"), "left")
+    return found.select(F.col("k").alias(key), F.coalesce("root", "m").alias("root"))
 
 
 def group_split(rows: DataFrame, key: str, hashes: str, buckets: int, checkpoint) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import text as X
 from grainmill.operators import governance, packing, quality, selection, similarity
-from grainmill.operators.ranking import global_rank
+from grainmill.operators.ranking import global_rank, hash_group
 from grainmill.sources.tables import table, texts
 
 #: SQL that the oracles share, with the white space and line-end classes spelt out.
@@ -128,7 +128,9 @@ def near_dup_survivors(spark: SparkSession, sf: str) -> DataFrame:
     kept = cut(quality.quality_filter(texts(spark, sf)).select("doc_id", "source", "text"))
     pairs = cut(similarity.jaccard_pairs(kept, min_jaccard=0.5, checkpoint=cut))
     order = [F.length("text").desc(), F.sha2("text", 256), F.col("doc_id"), F.col("source")]
-    ranked = global_rank(kept.withColumn("g", -F.floor(F.length("text") / 64)), "g", order).select(F.col("doc_id").alias("k"), "rank")
+    # a length's documents are ranked by intervals of their hash
+    kept = kept.withColumn("h", F.sha2("text", 256)).withColumn("g", F.struct((-F.length("text")).alias("n"), hash_group(F.col("h"), kept.count()).alias("h")))
+    ranked = global_rank(kept, "g", order).select(F.col("doc_id").alias("k"), "rank")
     return similarity.greedy_survivors(cut(ranked), pairs, cut).where(~F.col("keep")).select(F.col("k").alias("doc_id"))
 
 
@@ -253,5 +255,5 @@ OR regexp_matches(text[1:16384], '(?m)^\s*(def|class|import|from|function|interf
     "weighted_draws": "WITH c AS (SELECT lang, sum(count(*)) OVER (ORDER BY lang) / sum(count(*)) OVER ()::DOUBLE AS hi, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT lang, hi, coalesce(lag(hi) OVER (ORDER BY lang), 0) AS lo FROM c), d AS (SELECT ('0x' || substr(sha256('23:' || range), 1, 8))::BIGINT / 4294967296 AS u FROM range(1000)) SELECT lang, count(*) AS n FROM d JOIN t ON u >= lo AND u < hi GROUP BY lang",
     "derived_corpora": "SELECT CASE WHEN source IN ('src0', 'src1') THEN 'a' ELSE 'b' END AS corpus, lang, count(*) AS n FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4') GROUP BY 1, 2",
     "set_fingerprint": "WITH h AS (SELECT DISTINCT sha256(doc_id::VARCHAR) AS h FROM documents), l AS (SELECT substr(h, 1, 2) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS count, sha256(string_agg(d, chr(10) ORDER BY g)) AS fingerprint FROM l",
-    "multiset_fingerprint": "WITH h AS (SELECT sha256(text) AS h FROM documents), w AS (SELECT " + ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS w{k}" for k in range(8)) + " FROM h) SELECT count(*) AS count, " + " || ".join(f"printf('%016x', sum(w{k})::BIGINT)" for k in range(8)) + " AS sum, " + " || ".join(f"printf('%08x', bit_xor(w{k}))" for k in range(8)) + " AS xor FROM w",
+    "multiset_fingerprint": "WITH h AS (SELECT sha256(text) AS h FROM documents), w AS (SELECT " + ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS w{k}" for k in range(8)) + " FROM h), c8 AS (SELECT count(*) AS count, 0::HUGEINT AS carry8, " + ", ".join(f"sum(w{k})::HUGEINT AS s{k}" for k in range(8)) + ", " + " || ".join(f"printf('%08x', bit_xor(w{k}))" for k in range(8)) + " AS xor FROM w)" + "".join(f", c{k} AS (SELECT *, ((s{k} + carry{k + 1}) % 4294967296)::BIGINT AS d{k}, (s{k} + carry{k + 1}) // 4294967296 AS carry{k} FROM c{k + 1})" for k in range(7, -1, -1)) + " SELECT count, " + " || ".join(f"printf('%08x', d{k})" for k in range(8)) + " AS sum, xor FROM c0",
 }
