@@ -109,14 +109,39 @@ def pairs(rows: DataFrame, row_tokens: int) -> DataFrame:
     return rows.withColumn("x", x).withColumn("y", y)
 
 
-def train_bpe(docs: DataFrame, *, text: str = "text", vocabulary: int = 4096, sample: int = 10_000):
-    """The reference workflow fits its tokenizer on the train split: a byte-level BPE over at most ``sample`` documents, the first by hash."""
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
-
-    rows = docs.select(text).orderBy(F.sha2(F.col(text), 256)).limit(sample)
-    tokenizer = Tokenizer(models.BPE())
-    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
-    tokenizer.decoder = decoders.ByteLevel()
-    trainer = trainers.BpeTrainer(vocab_size=vocabulary, special_tokens=["<|endoftext|>"], initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False)
-    tokenizer.train_from_iterator((r[0] for r in rows.toLocalIterator() if r[0]), trainer)
-    return tokenizer
+def encoded(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(key, ids) by the tokenizers library and a vocabulary file that is there on every machine, whole texts, nothing added or cut; null counts as empty. Tokenizers are given, never trained."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for batch in batches:
+            ids = [e.ids for e in tokenizer.encode_batch_fast([t or "" for t in batch.column(1).to_pylist()], add_special_tokens=False)]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["k", "ids"])
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", key)
+
+
+def token_lengths(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(key, n): how many tokens each text has."""
+    return encoded(docs, key, text, path).select(key, F.size("ids").alias("n"))
+
+
+def padded(rows: DataFrame, row_tokens: int) -> DataFrame:
+    """Rows of exactly row_tokens: ``tokens`` filled up with the end mark, ``length`` as it was."""
+    fill = F.array_repeat(F.lit(EOS), row_tokens)
+    return rows.withColumn("tokens", F.slice(F.concat("tokens", fill), 1, row_tokens))
+
+
+def write_shards(rows: DataFrame, path: str, rows_per_shard: int, row_tokens: int) -> dict:
+    """Padded rows as a generation with folders for splits and shards, and a manifest that has, for each shard, its rows, tokens and the SHA-256 of its rows' ids."""
+    from grainmill.sources import sinks
+
+    made = shards(padded(rows, row_tokens), rows_per_shard)
+    each = made.groupBy("split", "grp", "shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "sha256"))), lambda r: r["sha256"]), ""), 256).alias("sha256"))
+    parts = [r.asDict() for r in each.orderBy("split", "grp", "shard").collect()]
+    return sinks.write_generation(made, path, "shards", ["split", "shard"], {"row_tokens": row_tokens, "shards": parts})

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as X
 from grainmill.operators import conversations, governance, metrics, schedules, selection
+from grainmill.plans.corpus import STRIP
 from grainmill.sources import readers, sinks
+from grainmill.sources.shared import new_folder
 from grainmill.sources.tables import table
 from grainmill.streaming import streams
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new place in the shared folder; a temporary one of our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def bernoulli_sample(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(X.hash_selected(7, F.col("doc_id"), 0.1)).select("doc_id")
 
@@ -75,9 +68,9 @@ def source_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Users of one part of the events, and how many of them the other part has."""
+    """Users of the events of one kind of id, and how many of them the events of the other kind have."""
     rows = table(spark, sf, "events")
-    return conversations.overlap(rows.where("event_id % 4 = 0"), rows.where("event_id % 4 = 1"), "user_id")
+    return conversations.overlap(rows.where("event_id % 4 = 0"), rows.where("event_id % 4 <> 0"), "user_id")
 
 
 def router_load(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +98,7 @@ def retained_by_length(spark: SparkSession, sf: str) -> DataFrame:
 
 def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to JSON lines and back through the document reader."""
-    path = _folder(spark)
+    path = new_folder(spark)
     docs = table(spark, sf, "documents")
     sinks.write_documents(docs.select("text", "source", F.col("doc_id").cast("string").alias("doc_id")), path)
     rows = spark.read.schema("text string, source string, doc_id string").json(path)
@@ -116,16 +109,16 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly counts of a stream over the events files, to their end. An extension of ours."""
     schema = table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"counts_{uuid.uuid4().hex}"
     counts = streams.windowed_counts(rows, "ts", "1 day", group=["event_type"])
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    path = streams.to_end(counts, new_folder(spark))
+    return spark.read.parquet(path).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of a language as one book a source, a heading before each; pieces of 200 characters or more."""
-    books = table(spark, sf, "documents").where("lang = 'es'").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: F.concat(F.lit("Chapter "), r["doc_id"].cast("string"), F.lit("\n"), r["text"])), "\n").alias("text"))
+    """Every document as a chapter of a book, books of about sixteen documents of a source; pieces of 200 characters or more."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    docs = docs.withColumn("book", F.substring(F.sha2(F.floor(F.col("doc_id") / 16).cast("string"), 256), 1, 8))
+    books = docs.groupBy("source", "book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda r: F.concat(F.lit("Chapter "), r["doc_id"].cast("string"), F.lit("\n"), r["text"])), "\n").alias("text"))
     return readers.chapters(books).groupBy("source").agg(F.count(F.lit(1)).alias("pieces"))
 
 
@@ -142,12 +135,12 @@ ORACLES = {
     "union_with_provenance": "SELECT 'documents' AS origin, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text))::BIGINT FROM benchmark UNION ALL SELECT 'conversations', count(*), sum(length(text))::BIGINT FROM conversations",
     "marker_guard": "SELECT contains(text, '||') OR contains(text, '##') OR contains(text, chr(0)) AS refused, count(*) AS n FROM documents GROUP BY 1",
     "source_policy": "SELECT CASE WHEN regexp_extract(source, '[0-9]+')::INT >= 15 THEN 'unknown' WHEN regexp_extract(source, '[0-9]+')::INT % 3 = 0 THEN 'eval' ELSE 'train' END AS policy, count(*) AS n FROM documents GROUP BY 1",
-    "name_coverage": "WITH l AS (SELECT DISTINCT user_id FROM events WHERE event_id % 4 = 0), r AS (SELECT DISTINCT user_id FROM events WHERE event_id % 4 = 1) SELECT (SELECT count(*) FROM l) AS \"left\", (SELECT count(*) FROM r) AS \"right\", (SELECT count(*) FROM l SEMI JOIN r USING (user_id)) AS shared",
+    "name_coverage": "WITH l AS (SELECT DISTINCT user_id FROM events WHERE event_id % 4 = 0), r AS (SELECT DISTINCT user_id FROM events WHERE event_id % 4 <> 0) SELECT (SELECT count(*) FROM l) AS \"left\", (SELECT count(*) FROM r) AS \"right\", (SELECT count(*) FROM l SEMI JOIN r USING (user_id)) AS shared",
     "router_load": "WITH e AS (SELECT label, unnest(range(len(embedding)))::INT AS expert, unnest(embedding) AS v FROM embeddings) SELECT label, expert, round(sum(v::DOUBLE), 4) AS load FROM e GROUP BY 1, 2",
     "stratum_first_seen": "WITH s AS (SELECT event_type, user_id % 7 AS g, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, g, row_number() OVER (ORDER BY n, sha256(event_type || '|' || g)) - 1 AS first, n FROM s",
     "suite_summary": "WITH s AS (SELECT event_type, user_id % 10 AS suite, count(*) AS n, avg(value) AS v FROM events GROUP BY ALL) SELECT event_type, round(avg(v) FILTER (n >= 190), 6) AS mean, count(*) FILTER (n >= 190) AS suites FROM s GROUP BY event_type",
     "retained_by_length": "SELECT length(text) BETWEEN 200 AND 2000000 AS value, count(*) AS n FROM documents GROUP BY 1",
     "json_round_trip": "SELECT doc_id::VARCHAR AS doc_id, source, sha256(text) AS digest FROM documents",
     "stream_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "chapters": "SELECT source, count(*) AS pieces FROM documents WHERE lang = 'es' AND length(trim(text, chr(10) || ' ')) >= 200 GROUP BY source",
+    "chapters": f"SELECT source, count(*) AS pieces FROM documents WHERE length({STRIP % 'text'}) >= 200 GROUP BY source",
 }

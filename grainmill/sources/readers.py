@@ -96,10 +96,15 @@ def select_files(spark: SparkSession, paths: list[str], seed: int, k: int) -> li
 
 
 def round_robin(frames: list[DataFrame], order: list[str]) -> DataFrame:
-    """Rows of several sources, one of each in turn: (turn, source) numbers say the order."""
+    """Rows of several sources, one of each in turn: (turn, source) numbers say the order. A source's turns are ranks over ranges of the order's first column, as a range sort deals them, so that no source is one task."""
     from grainmill.operators.ranking import global_rank
 
-    ranked = [global_rank(f.withColumn("__g", F.lit(0)), "__g", [F.col(c) for c in order], "turn").drop("__g").withColumn("source_number", F.lit(k)) for k, f in enumerate(frames)]
+    ranked = []
+    for number, frame in enumerate(frames):
+        found = frame.stat.approxQuantile(order[0], [k / 64 for k in range(1, 64)], 0.01) if isinstance(frame.schema[order[0]].dataType, T.NumericType) else []
+        cuts = F.array(*map(F.lit, sorted(set(found)))).cast("array<double>")
+        stretch = F.size(F.filter(cuts, lambda c: c < F.col(order[0]).cast("double"))) if found else F.substring(F.col(order[0]).cast("string"), 1, 4)
+        ranked.append(global_rank(frame.withColumn("__g", stretch), "__g", [F.col(c) for c in order], "turn").drop("__g").withColumn("source_number", F.lit(number)))
     return reduce(DataFrame.unionByName, ranked)
 
 
@@ -189,26 +194,79 @@ def chapters(rows: DataFrame, text: str = "text", least: int = 200) -> DataFrame
     return rows.select("*", F.posexplode(F.filter(pieces, lambda p: F.length(p) >= least)).alias("piece", "piece_text"))
 
 
+#: Fields that hold turns, and fields that hold text, of records of unknown shape.
+TURN_FIELDS = ("messages", "conversations", "conversation", "turns", "dialog", "dialogue")
+TEXT_FIELDS = ("text", "content", "value", "prompt", "response", "completion", "output", "answer", "question", "instruction", "input", "body", "chosen", "rejected", "story", "document")
+
+
 def spans(value: str, least: int = 40) -> list[str]:
-    """Text of any JSON record: its turns, else its text fields, else every string longer than ``least``; line feeds as spaces."""
-    found: list[str] = []
+    """Text of a JSON record of any shape, line feeds as spaces: what its turns and its text fields say, and where it has neither, every string longer than ``least``."""
 
-    def walk(v, top: bool) -> None:
+    def said(v) -> list[str]:
+        if isinstance(v, str):
+            return [v] if v.strip() else []
+        if isinstance(v, list):
+            return [x for item in v for x in said(item)]
+        if isinstance(v, dict):
+            return [x for k in (*TURN_FIELDS, *TEXT_FIELDS) if k in v for x in said(v[k])]
+        return []
+
+    def any_text(v) -> list[str]:
         if isinstance(v, str):
-            if len(v) > least:
-                found.append(v.replace("\n", " "))
-        elif isinstance(v, list):
-            for x in v:
-                walk(x, False)
-        elif isinstance(v, dict):
-            for keys in (("messages", "conversations", "turns"), ("text", "content", "value", "prompt", "response")):
-                own = [v[k] for k in keys if v.get(k)]
-                if own:
-                    for x in own:
-                        walk(x, False)
-                    return
-            for x in v.values():
-                walk(x, False)
-
-    walk(json.loads(value), True)
-    return found
+            return [v] if len(v) > least else []
+        inside = v if isinstance(v, list) else list(v.values()) if isinstance(v, dict) else []
+        return [x for item in inside for x in any_text(item)]
+
+    record = json.loads(value)
+    found = said(record) if isinstance(record, (dict, list)) else []
+    return [x.replace("\n", " ").strip() for x in found or any_text(record)]
+
+
+def record_texts(rows: DataFrame, column: str = "value", *, least: int = 40, min_chars: int = 40) -> DataFrame:
+    """(record, part, text, chars) of JSON records, at least ``min_chars`` long; a record that isn't JSON is an error. ``record`` is the SHA-256 of the line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[t for t in spans(v, least) if len(t) >= min_chars] if v else [] for v in batch.column(1).to_pylist()]
+            at = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), pa.array([i for own in found for i in range(len(own))], pa.int32()), pa.array([t for own in found for t in own], pa.string())], names=["record", "part", "text"])
+
+    out = rows.select(F.sha2(column, 256).alias("record"), column).mapInArrow(run, "record string, part int, text string")
+    return out.withColumn("chars", F.length("text"))
+
+
+def shard_sources(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(source, path): shards by the part of their file name before the last dash or underscore and number; a file without a number is a source of its own."""
+    name = F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", 1)
+    return paths.select(F.regexp_replace(name, r"[-_][0-9]+(?:[-_]of[-_][0-9]+)?$", "").alias("source"), F.col(path).alias("path"))
+
+
+def select_shards(shards: DataFrame, wanted: list[str]) -> DataFrame:
+    """The shards of the wanted sources; an unknown source is an error at once."""
+    names = shards.sparkSession.createDataFrame([(w,) for w in sorted(set(wanted))], "source string")
+    if unknown := [r.source for r in names.join(shards.select("source").distinct(), "source", "left_anti").collect()]:
+        raise ValueError(f"unknown sources: {sorted(unknown)}")
+    return shards.join(F.broadcast(names), "source", "left_semi")
+
+
+def without_files(rows: DataFrame, refused: list[str], path: str = "path") -> DataFrame:
+    """Rows whose file name is not on a list of refused ones."""
+    return rows.where(~F.regexp_extract(path, r"([^/]*)$", 1).isin(refused))
+
+
+def conversation_sources(spark: SparkSession, specs: list[dict]) -> DataFrame:
+    """Conversations of several sources with ``origin`` and ``weight``. A spec has name and path, and may have weight (1) and sha256, the multiset fingerprint sum that its rows must have."""
+    from grainmill.operators import governance
+
+    frames = []
+    for spec in specs:
+        if unknown := set(spec) - {"name", "path", "weight", "sha256"}:
+            raise ValueError(f"unknown keys: {sorted(unknown)}")
+        weight = float(spec.get("weight", 1))
+        if not 0 < weight < float("inf"):
+            raise ValueError(f"the weight of {spec['name']} must be positive")
+        rows = conversations(spark, spec["path"])
+        if "sha256" in spec and governance.multiset_fingerprint(rows.select(F.to_json(F.struct(*rows.columns)).alias("v")), "v").first()["sum"] != spec["sha256"]:
+            raise ValueError(f"{spec['name']} has other rows than its fingerprint says")
+        frames.append(rows.withColumn("origin", F.lit(spec["name"])).withColumn("weight", F.lit(weight)))
+    return reduce(DataFrame.unionByName, frames)

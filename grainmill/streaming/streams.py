@@ -59,3 +59,14 @@ def running_budget(rows: DataFrame, source: str, amount: str, budget: int) -> Da
         yield pd.DataFrame({source: [key[0]], "taken": [used], "rows": [rows]})
 
     return rows.groupBy(source).applyInPandasWithState(step, f"{source} string, taken bigint, rows bigint", "used bigint, rows bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+def to_end(counts: DataFrame, folder: str) -> str:
+    """Runs a complete-mode aggregation over what its source has now, with its checkpoint and its result in the shared folder; the path of the result. A run that is broken off goes on from the checkpoint."""
+    path = f"{folder}/result"
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    return path

@@ -290,3 +290,111 @@ def test_governance(spark):
     assert governance.set_fingerprint(a, "v").first() == governance.set_fingerprint(b.distinct(), "v").first()
     with pytest.raises(ValueError):
         governance.derived(a, {"p": ["s"], "q": ["s"]}, "v")
+
+
+def test_cosine_blocks_equal_all_pairs(spark):
+    import numpy as np
+
+    random.seed(5)
+    rows = [(k, [random.choice((-1.0, 0.0, 1.0)) for _ in range(4)]) for k in range(150)] + [(900, None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    asked = df.where("vec_id % 10 = 0")
+    got = sorted(tuple(r) for r in similarity.cosine_top(df, asked, 4, block=3).collect())
+    x = {k: np.array(v) for k, v in rows if v}
+    cos = lambda a, b: round(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))), 5) if a.any() and b.any() else 0.0
+    want = []
+    for q in range(0, 150, 10):
+        best = sorted((-cos(x[q], x[k]), k) for k in x if k != q)[:4]
+        want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(best)]
+    assert got == sorted(want) and similarity.cosine_top(df, asked.limit(0), 4).count() == 0
+
+
+def test_short_matches_in_blocks(spark, monkeypatch):
+    items = [(k, t) for k, t in enumerate(["ab", "b c", "ab", "zz", "", "x " * 40, "É!"])] + [(None, "b")]
+    docs = [(k, t) for k, t in enumerate(["drab day", "a b c", "", None, "zzz ab", "é !"])]
+    frames = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    norm = lambda t: " ".join(X_TOKEN.findall((t or "").casefold()))
+    want = sorted((str(i), d) for i, t in items if t and len(norm(t).split()) < 12 for d, x in docs if norm(t) in norm(x))
+    got = lambda: sorted((str(r.item_id), r.doc_id) for r in similarity.short_matches(*frames).collect())
+    assert got() == want and want
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 1)
+    assert got() == want
+
+
+X_TOKEN = __import__("regex").compile(r"\w+|[^\w\s]")
+
+
+def test_signature_keys_lose_no_pair():
+    for n in (10, 10**7, 10**10):
+        for radius in (3, 7):
+            for _ in range(100):
+                flipped = sum(1 << b for b in random.sample(range(64), radius))
+                assert any(not any(flipped >> shift & (1 << width) - 1 for shift, width in key) for key in similarity.block_choice(n, radius))
+
+
+def test_cover_and_confirmation(spark):
+    rows = [(k, f"s{k % 30}", [f"p{k % 50}"], [f"a{k % 4}", f"b{k % 3}"]) for k in range(90)]
+    df = spark.createDataFrame(rows, "k bigint, semantic string, prompts array<string>, strata array<string>")
+    out = selection.confirmatory(df, "k", semantic="semantic", prompts="prompts", strata="strata", primary=6, confirm=6).collect()
+    first, second = ({r.k for r in out if r.part == p} for p in ("primary", "confirm"))
+    by = {r[0]: r for r in rows}
+    assert len(first) == len(second) == 6 and {s for k in first for s in by[k][3]} == {s for r in rows for s in r[3]}
+    assert not {by[k][1] for k in first} & {by[k][1] for k in second} and not {p for k in first for p in by[k][2]} & {p for k in second for p in by[k][2]}
+    free = [r for r in rows if r[1] not in {by[k][1] for k in first} and not {*r[2]} & {p for k in first for p in by[k][2]}]
+    assert {s for k in second for s in by[k][3]} == {s for r in free for s in r[3]}
+
+
+def test_bounded_shuffle_and_widening(spark):
+    out = selection.bounded_shuffle(spark.range(1000), "id", 4, 64).collect()
+    assert sorted(r.shuffled for r in out) == list(range(1000)) and max(abs(r.shuffled - r.id) for r in out) < 64 and sum(r.id != r.shuffled for r in out) > 900
+    base = spark.createDataFrame([(1, ["p1"], 5)], "k int, prompts array<string>, n int")
+    extra = spark.createDataFrame([(k, [f"p{k}", f"q{k % 7}"], k) for k in range(10, 60)] + [(99, [], 1)], "k int, prompts array<string>, n int")
+    guards = spark.createDataFrame([("q3",), ("p20",)], "prompt string")
+    wide = selection.widen(base, extra, guards, key="k", prompts="prompts", size=F.col("n"), most=50, cap=9, seed=2).collect()
+    assert sum(r.added for r in wide) == 9 and not any(r.added and (r.k % 7 == 3 or r.k in (20, 99) or r.n > 50) for r in wide)
+
+
+def test_components_of_a_long_chain(spark):
+    from grainmill.operators import graphs
+    from grainmill.sources.shared import parquet_checkpoint
+
+    edges = [(f"{k:03}", f"{k + 1:03}") for k in range(200)] + [("x", "y"), ("z", "z"), (None, "q")]
+    random.shuffle(edges)
+    found = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "a string, b string"), parquet_checkpoint(spark)).collect()}
+    assert found == {**{f"{k:03}": "000" for k in range(201)}, "x": "x", "y": "x"}
+
+
+def test_fingerprint_sums_are_modulo_two_to_the_256(spark):
+    import hashlib
+
+    values = [f"v{k % 7}" for k in range(50)] + [None]
+    r = governance.multiset_fingerprint(spark.createDataFrame([(v,) for v in values], "v string"), "v").first()
+    numbers = [int(hashlib.sha256(v.encode()).hexdigest(), 16) for v in values if v]
+    xor = 0
+    for n in numbers:
+        xor ^= n
+    assert (r["count"], r["sum"], r["xor"]) == (50, f"{sum(numbers) % 2**256:064x}", f"{xor:064x}")
+
+
+def test_set_fingerprint_has_more_levels_for_more_values(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "v")
+    small, large = (governance.set_fingerprint(rows, "v", group_values=g).first() for g in (4096, 2))
+    assert small["count"] == large["count"] == 3000 and small.fingerprint != large.fingerprint
+    assert governance.set_fingerprint(rows.repartition(9).union(rows.limit(5)), "v", group_values=2).first() == large
+
+
+def test_encoded_and_shards(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "hello wörld"), (2, None)], "k int, t string")
+    found = {r.k: r.ids for r in packing.encoded(docs, "k", "t", path).collect()}
+    from tokenizers import Tokenizer
+
+    assert found == {1: Tokenizer.from_file(path).encode("hello wörld", add_special_tokens=False).ids, 2: []} and packing.token_lengths(docs, "k", "t", path).agg(F.sum("n")).first()[0] == len(found[1])
+    rows = spark.createDataFrame([("train", 0, k, [0, 5 + k, 0], 3) for k in range(5)], "split string, grp bigint, row bigint, tokens array<int>, length int")
+    made = packing.write_shards(rows, str(tmp_path), 2, 6)
+    assert [(s["shard"], s["rows"], s["tokens"]) for s in made["shards"]] == [(0, 2, 6), (1, 2, 6), (2, 1, 3)] and json.loads((tmp_path / "manifest.json").read_text())["row_tokens"] == 6
+    assert {tuple(r.tokens) for r in spark.read.parquet(f"{tmp_path}/shards").collect()} == {(0, 5 + k, 0, 0, 0, 0) for k in range(5)}

@@ -49,7 +49,9 @@ def test_chapters_and_spans(spark):
     book = "Chapter I\n" + "a" * 210 + "\nCHAPTER 2 x\nshort\nchapter iii\n" + "b" * 220
     rows = readers.chapters(spark.createDataFrame([(book,)], "text string")).collect()
     assert [len(r.piece_text) for r in rows] == [210, 220]
-    assert readers.spans(json.dumps({"messages": [{"content": "x" * 50}, {"content": "no"}], "other": "y" * 60})) == ["x" * 50]
+    assert readers.spans(json.dumps({"messages": [{"content": "x" * 50}, {"content": "no"}], "other": "y" * 60})) == ["x" * 50, "no"]
+    assert readers.spans(json.dumps({"a": {"b": ["short", "z" * 41]}, "n": 4})) == ["z" * 41]
+    assert readers.spans(json.dumps({"turns": [{"value": "v"}], "chosen": "c\nd", "meta": "m" * 99})) == ["v", "c d"]
 
 
 def test_round_robin(spark):
@@ -111,3 +113,40 @@ def test_streams_over_events(spark, tmp_path):
     assert {(r.source, r.taken, r.rows) for r in spark.table("rb").collect()} == {("a", 12, 2), ("b", 9, 1)}
     run(streams.sessions(stream(), "ts", "5 minutes", ["source"]).writeStream.outputMode("complete").format("memory").queryName("ss").start())
     assert spark.table("ss").count() == 3
+
+
+def test_record_texts(spark):
+    rows = spark.createDataFrame([(json.dumps({"messages": [{"content": "a" * 45}, {"content": "b"}], "text": "c" * 60}),), (json.dumps({"x": "d" * 50}),), (None,)], "value string")
+    out = readers.record_texts(rows).collect()
+    assert sorted((r.part, r.text[0], r.chars) for r in out) == [(0, "a", 45), (0, "d", 50), (1, "c", 60)]
+
+
+def test_shards_and_refusals(spark):
+    paths = spark.createDataFrame([("/d/web-0001.jsonl.gz",), ("/d/web-2.parquet",), ("/d/code_00-of-07.txt",), ("/d/notes.md",)], "path string")
+    found = readers.shard_sources(paths)
+    assert sorted((r.source, r.path.split("/")[-1]) for r in found.collect()) == [("code", "code_00-of-07.txt"), ("notes", "notes.md"), ("web", "web-0001.jsonl.gz"), ("web", "web-2.parquet")]
+    assert readers.select_shards(found, ["web"]).count() == 2
+    with pytest.raises(ValueError, match="unknown sources: \\['none'\\]"):
+        readers.select_shards(found, ["web", "none"])
+    assert readers.without_files(paths, ["notes.md"]).count() == 3
+
+
+def test_conversation_sources(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(json.dumps({"messages": [{"role": "user", "content": "x"}]}) + "\n")
+    rows = readers.conversation_sources(spark, [{"name": "a", "path": str(tmp_path / "a.jsonl"), "weight": 2}, {"name": "b", "path": str(tmp_path)}])
+    assert sorted((r.origin, r.weight) for r in rows.collect()) == [("a", 2.0), ("b", 1.0)]
+    for bad in ({"weight": 0}, {"sha256": "0"}, {"color": 1}):
+        with pytest.raises(ValueError):
+            readers.conversation_sources(spark, [{"name": "a", "path": str(tmp_path), **bad}])
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    from grainmill.sources import shared
+
+    monkeypatch.setattr(shared, "new_folder", lambda spark: f"file://{tmp_path}/t{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr(shared, "_WRITTEN", [])
+    cut = shared.parquet_checkpoint(spark)
+    assert cut(spark.range(5)).count() == 5 and cut(spark.range(6)).count() == 6 and len(list(tmp_path.iterdir())) == 2
+    assert shared.cleanup(spark) == 2 and not list(tmp_path.iterdir())
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared._own_folder("yarn")
