@@ -77,7 +77,7 @@ def problem(messages: Column, tools: Column) -> Column:
     tools, arguments or parameters that aren't JSON objects."""
     names = F.transform(tools, lambda t: t["name"])
     calls = F.flatten(F.transform(messages, lambda m: F.coalesce(m["tool_calls"], F.array().cast(CALLS))))
-    is_object = lambda j: F.coalesce(F.expr("true") & j.startswith("{") & F.json_object_keys(j).isNotNull(), F.lit(False))
+    is_object = lambda j: F.coalesce(j.startswith("{") & F.json_object_keys(j).isNotNull(), F.lit(False))
     texts = F.concat(
         F.transform(messages, lambda m: F.concat(F.coalesce(m["content"], F.lit("")), F.lit(" "), F.coalesce(m["tool_response"], F.lit("")))),
         F.transform(calls, lambda c: F.concat(c["name"], F.lit(" "), c["arguments"])),

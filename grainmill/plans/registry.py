@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.plans import conversations, corpus, evaluation, extras, relational
+from grainmill.plans import agents, conversations, corpus, evaluation, extras, relational
 
-MODULES = (corpus, conversations, evaluation, extras, relational)
+MODULES = (corpus, conversations, evaluation, extras, relational, agents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

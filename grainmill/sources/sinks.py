@@ -35,6 +35,17 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
 
 
+def write_record(spark: SparkSession, path: str, record: dict) -> None:
+    """A small JSON record, whole or not at all."""
+    _write_text(spark, path, json.dumps(record, sort_keys=True))
+
+
+def read_record(spark: SparkSession, path: str) -> dict | None:
+    """The record at a path; null if there is none."""
+    fs, place = _fs(spark, path)
+    return json.loads(_read_text(spark, path)) if fs.exists(place) else None
+
+
 def write_generation(rows: DataFrame, path: str, name: str, partition_by: list[str] | None = None, fields: dict | None = None) -> dict:
     """Writes a new generation below path, then lets the manifest name it: readers see the old one or the new one whole."""
     target = f"{path}/{name}"
