@@ -85,6 +85,14 @@ def code_like(spark: SparkSession, sf: str) -> DataFrame:
     return docs.where(X.code_like(F.col("text"), F.col("source"))).select("doc_id")
 
 
+def code_like_marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of which every tenth has a source with a code suffix, every tenth a provenance of code, and every tenth two kinds of code lines before its text."""
+    docs, kind = texts(spark, sf).where("text IS NOT NULL"), F.col("doc_id") % 10
+    source = F.when(kind == 0, F.concat("source", F.lit("/a.PY"))).when(kind == 1, F.concat(F.lit("GitHub "), "source")).otherwise(F.col("source"))
+    text = F.when(kind == 2, F.concat(F.lit("import os\nconst x = 1;\n"), "text")).otherwise(F.col("text"))
+    return docs.where(X.code_like(text, source)).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def source_family(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(X.source_family(F.col("url")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -182,8 +190,9 @@ def weighted_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scheduled_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    """64 steps over three sources."""
-    chosen = selection.scheduled_mixture([3.0, 1.0, 0.0], [1.0, 1.0, 2.0], 64, [512.0, 256.0, 1024.0])
+    """64 steps over three languages, each charged the mean length of its texts."""
+    lengths = {r.lang: r.n for r in texts(spark, sf).where("lang IN ('de', 'en', 'fr')").groupBy("lang").agg(F.floor(F.avg(F.length("text"))).cast("double").alias("n")).collect()}
+    chosen = selection.scheduled_mixture([3.0, 1.0, 0.0], [1.0, 1.0, 2.0], 64, [lengths[k] for k in sorted(lengths)])
     return spark.range(1).select(F.posexplode(chosen).alias("step", "source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -209,7 +218,7 @@ def pack_rows(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("split", "grp").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"))
 
 
-QUERIES = [corpus_report, quality_reason_counts, repetition_ratio, exact_dedup_keep, exact_dedup_aliases, cross_source_dedup, source_counts_bounded, privacy_reasons, code_like, source_family, license_admission, token_counts, decontam_containment, decontam_short, decontam_screen, near_dup_pairs, near_dup_survivors, near_dup_simhash, split_assignment, frozen_split, split_audit, source_cap, budget_cutoff, apportion_budget, sqrt_weights, weighted_draws, scheduled_mixture, derived_corpora, set_fingerprint, multiset_fingerprint, pack_rows]
+QUERIES = [corpus_report, quality_reason_counts, repetition_ratio, exact_dedup_keep, exact_dedup_aliases, cross_source_dedup, source_counts_bounded, privacy_reasons, code_like, code_like_marked, source_family, license_admission, token_counts, decontam_containment, decontam_short, decontam_screen, near_dup_pairs, near_dup_survivors, near_dup_simhash, split_assignment, frozen_split, split_audit, source_cap, budget_cutoff, apportion_budget, sqrt_weights, weighted_draws, scheduled_mixture, derived_corpora, set_fingerprint, multiset_fingerprint, pack_rows]
 
 _KEPT = "kept AS (SELECT * FROM reasons WHERE reason = '' QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id, source, sha256(clean)) = 1)"
 _SETS = f"sets AS (SELECT doc_id, {SHINGLES} AS s FROM (SELECT doc_id, {TOKENS % 'clean'} AS w FROM kept)), f AS (SELECT doc_id, unnest(s) AS s, len(s) AS n FROM sets WHERE len(s) >= 8)"
@@ -253,6 +262,8 @@ OR regexp_matches(text[1:16384], '(?m)^\s*(def|class|import|from|function|interf
     "apportion_budget": "WITH w AS (SELECT source, count(*) AS weight FROM documents GROUP BY source), q AS (SELECT *, 1000003 * weight // sum(weight) OVER () AS f, 1000003 * weight % sum(weight) OVER () AS r FROM w), o AS (SELECT *, row_number() OVER (ORDER BY r DESC, source) AS k, 1000003 - sum(f) OVER () AS more FROM q) SELECT source, weight, (f + (k <= more)::INT)::BIGINT AS budget FROM o",
     "sqrt_weights": "WITH c AS (SELECT source, sum(n_chars) AS chars FROM documents GROUP BY source) SELECT source, round(sqrt(chars::DOUBLE) / sum(sqrt(chars::DOUBLE)) OVER (), 9) AS share FROM c",
     "weighted_draws": "WITH c AS (SELECT lang, sum(count(*)) OVER (ORDER BY lang) / sum(count(*)) OVER ()::DOUBLE AS hi, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT lang, hi, coalesce(lag(hi) OVER (ORDER BY lang), 0) AS lo FROM c), d AS (SELECT ('0x' || substr(sha256('23:' || range), 1, 8))::BIGINT / 4294967296 AS u FROM range(1000)) SELECT lang, count(*) AS n FROM d JOIN t ON u >= lo AND u < hi GROUP BY lang",
+    "scheduled_mixture": "WITH RECURSIVE a AS (SELECT floor(avg(length(text)) FILTER (lang = 'de'))::DOUBLE AS a0, floor(avg(length(text)) FILTER (lang = 'en'))::DOUBLE AS a1, floor(avg(length(text)) FILTER (lang = 'fr'))::DOUBLE AS a2 FROM documents), s(t, d0, d1, d2, u0, u1, u2, c) AS (SELECT -1, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, -1 UNION ALL SELECT t + 1, e0, e1, e2, u0 + CASE WHEN k = 0 THEN a0 ELSE 0 END, u1 + CASE WHEN k = 1 THEN a1 ELSE 0 END, u2 + CASE WHEN k = 2 THEN a2 ELSE 0 END, k FROM (SELECT *, CASE WHEN e0 - u0 >= e1 - u1 AND e0 - u0 >= e2 - u2 THEN 0 WHEN e1 - u1 >= e2 - u2 THEN 1 ELSE 2 END AS k FROM (SELECT *, d0 + w0 / (w0 + w1 + w2) * m AS e0, d1 + w1 / (w0 + w1 + w2) * m AS e1, d2 + w2 / (w0 + w1 + w2) * m AS e2 FROM (SELECT s.*, a.*, (a0 + a1 + a2) / 3 AS m, 3.0::DOUBLE - 2.0::DOUBLE * ((t + 1)::DOUBLE / 63) AS w0, 1.0::DOUBLE AS w1, 2.0::DOUBLE * ((t + 1)::DOUBLE / 63) AS w2 FROM s, a WHERE t < 63) x) y) z) SELECT c AS source, count(*) AS n FROM s WHERE t >= 0 GROUP BY c",
+    "code_like_marked": r"SELECT doc_id % 10 AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_id % 10 < 3 GROUP BY 1",
     "derived_corpora": "SELECT CASE WHEN source IN ('src0', 'src1') THEN 'a' ELSE 'b' END AS corpus, lang, count(*) AS n FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4') GROUP BY 1, 2",
     "set_fingerprint": "WITH h AS (SELECT DISTINCT sha256(doc_id::VARCHAR) AS h FROM documents), l AS (SELECT substr(h, 1, 2) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS count, sha256(string_agg(d, chr(10) ORDER BY g)) AS fingerprint FROM l",
     "multiset_fingerprint": "WITH h AS (SELECT sha256(text) AS h FROM documents), w AS (SELECT " + ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS w{k}" for k in range(8)) + " FROM h), c8 AS (SELECT count(*) AS count, 0::HUGEINT AS carry8, " + ", ".join(f"sum(w{k})::HUGEINT AS s{k}" for k in range(8)) + ", " + " || ".join(f"printf('%08x', bit_xor(w{k}))" for k in range(8)) + " AS xor FROM w)" + "".join(f", c{k} AS (SELECT *, ((s{k} + carry{k + 1}) % 4294967296)::BIGINT AS d{k}, (s{k} + carry{k + 1}) // 4294967296 AS carry{k} FROM c{k + 1})" for k in range(7, -1, -1)) + " SELECT count, " + " || ".join(f"printf('%08x', d{k})" for k in range(8)) + " AS sum, xor FROM c0",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import text as X
 from grainmill.operators import conversations, governance, metrics, schedules, selection
+from grainmill.operators.ranking import global_rank
 from grainmill.plans.corpus import STRIP
 from grainmill.sources import readers, sinks
 from grainmill.sources.shared import new_folder
@@ -20,7 +21,8 @@ def bernoulli_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def replay_window(spark: SparkSession, sf: str) -> DataFrame:
     """Languages in a cycle of four: which of its rows each draw takes."""
-    out = schedules.replay_window(spark, ["en", "de", "en", "fr"], {"en": 7, "de": 5, "fr": 3}, 10, 110)
+    sizes = {r.lang: r.n for r in table(spark, sf, "documents").where("lang IN ('en', 'de', 'fr')").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = schedules.replay_window(spark, ["en", "de", "en", "fr"], sizes, 10, 4000)
     return out.select("ordinal", "source", F.col("index").alias("row_index"), F.col("epoch").cast("bigint").alias("epoch"))
 
 
@@ -33,7 +35,12 @@ def microbatches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(F.explode(selection.spread_positions(1000, 37)).alias("position"))
+    """Where 37 rows stand if they are spread evenly over all documents, and the documents that have those ranks by id."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    total = docs.count()
+    places = spark.range(1).select(F.explode(selection.spread_positions(total, 37)).alias("position"))
+    ranked = global_rank(docs.withColumn("g", F.floor(F.col("doc_id") / 4096)), "g", [F.col("doc_id")], "position").drop("g")
+    return ranked.join(F.broadcast(places), "position")
 
 
 def file_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,10 +133,10 @@ QUERIES = [bernoulli_sample, replay_window, permutation_blocks, microbatches, sp
 
 ORACLES = {
     "bernoulli_sample": "SELECT doc_id FROM documents WHERE ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT < 429496729",
-    "replay_window": "WITH t AS (SELECT * FROM (VALUES (0, 'en', 0, 2, 7), (1, 'de', 0, 1, 5), (2, 'en', 1, 2, 7), (3, 'fr', 0, 1, 3)) t(slot, source, turn, turns, size)), o AS (SELECT range AS ordinal FROM range(10, 110)) SELECT ordinal, source, ((ordinal // 4) * turns + turn) % size AS row_index, ((ordinal // 4) * turns + turn) // size AS epoch FROM o JOIN t ON ordinal % 4 = slot",
+    "replay_window": "WITH n AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), t AS (SELECT slot, lang AS source, turn, turns, size FROM (VALUES (0, 'en', 0, 2), (1, 'de', 0, 1), (2, 'en', 1, 2), (3, 'fr', 0, 1)) t(slot, lang, turn, turns) JOIN n USING (lang)), o AS (SELECT range AS ordinal FROM range(10, 4000)) SELECT ordinal, source, ((ordinal // 4) * turns + turn) % size AS row_index, ((ordinal // 4) * turns + turn) // size AS epoch FROM o JOIN t ON ordinal % 4 = slot",
     "permutation_blocks": "WITH n AS (SELECT count(*) AS n FROM benchmark), b AS (SELECT range AS b FROM range(100)), r AS (SELECT b * n + row_number() OVER (PARTITION BY b ORDER BY sha256('5:' || b || ':' || item_id), item_id) - 1 AS draw, item_id FROM benchmark, b, n) SELECT * FROM r WHERE draw < 100",
     "microbatches": "SELECT (doc_id // 32)::BIGINT AS batch, (max(greatest(n_chars - 1, 0)) * count(*))::BIGINT AS input_tokens, sum(greatest(n_chars - 1, 0))::BIGINT AS loss_tokens FROM documents GROUP BY 1",
-    "spread_positions": "SELECT ((2 * range + 1) * 1000) // 74 AS position FROM range(37)",
+    "spread_positions": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents) SELECT position, doc_id FROM d WHERE position IN (SELECT ((2 * range + 1) * (SELECT count(*) FROM documents)) // 74 FROM range(37))",
     "file_selection": "WITH p AS (SELECT DISTINCT 'shards/' || source || '.jsonl' AS path FROM documents) SELECT path FROM p ORDER BY sha256('42:' || path), path LIMIT 10",
     "append_unseen": "SELECT count(DISTINCT sha256(text)) AS n, count(DISTINCT sha256(text)) AS \"distinct\" FROM documents",
     "union_with_provenance": "SELECT 'documents' AS origin, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text))::BIGINT FROM benchmark UNION ALL SELECT 'conversations', count(*), sum(length(text))::BIGINT FROM conversations",
