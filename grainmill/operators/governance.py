@@ -86,3 +86,18 @@ def missing_suites(required: DataFrame, supplied: DataFrame, name: str = "name",
 def known_keys_only(value: Column, allowed: list[str]) -> Column:
     """True if a JSON object has no key beyond the allowed ones."""
     return F.size(F.array_except(F.json_object_keys(value), F.array(*map(F.lit, allowed)))) == 0
+
+
+def catalog_problems(entries: DataFrame, families: list[str]) -> DataFrame:
+    """(id, problem) of a catalog's entries (id, family, source_url, access, policy, license): repeated_id, family, url, access (training rows must be open to all), license (and reviewed). No rows mean a valid catalog."""
+    twice = entries.groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
+    train = F.col("policy") == "train"
+    problem = (
+        F.when(F.col("__n") > 1, "repeated_id")
+        .when(~F.coalesce(F.col("family").isin(families), F.lit(False)), "family")
+        .when(~F.coalesce(F.col("source_url").rlike("^https://[^/ ]+"), F.lit(False)), "url")
+        .when(~F.coalesce(F.col("policy").isin("train", "eval_only", "excluded"), F.lit(False)), "policy")
+        .when(train & ~F.coalesce(F.col("access") == "public_download", F.lit(False)), "access")
+        .when(train & F.lower(F.coalesce("license", F.lit("unknown"))).isin("", "unknown", "unverified", "terms_review"), "license")
+    )
+    return entries.join(twice, "id").select("id", problem.alias("problem")).where("problem is not null").distinct()

@@ -57,3 +57,29 @@ def suggested_tokens(parameters: int, per_parameter: float = 20.0) -> int:
 def stage_plan(stages: DataFrame, total: str = "tokens", batch_tokens: int = 65_536) -> DataFrame:
     """Adds steps and the tokens they use: whole steps that don't exceed a stage's tokens."""
     return stages.withColumn("steps", F.floor(F.col(total) / batch_tokens)).withColumn("used", F.col("steps") * batch_tokens)
+
+
+def spread_coverage(rows: DataFrame, rank: str, coverage: int, total: int) -> DataFrame:
+    """Adds ``position``: the first ``coverage`` of ``total`` ranked rows at centred places over all of them, the others, in their order, at the places between. Ranks start at 0."""
+    if not 1 <= coverage <= total:
+        raise ValueError("coverage must lie between 1 and the number of rows")
+    spark = rows.sparkSession
+    places = spark.range(coverage).select(F.col("id").alias(rank), F.expr(f"((2 * id + 1) * {total}) div {2 * coverage}").alias("position"))
+    # the k-th free place lies behind k free ones and the places taken before it
+    free = spark.range(total).select(F.col("id").alias("position")).join(places.select("position"), "position", "left_anti").withColumn("__g", F.floor(F.col("position") / 4096))
+    free = global_rank(free, "__g", [F.col("position")], "__k").select((F.col("__k") + coverage).cast("bigint").alias(rank), "position")
+    return rows.join(places.union(free), rank)
+
+
+def pulsed(spark: SparkSession, cycle: list[str], sizes: dict[str, int], pulse: str, period: int, length: int, start: int, stop: int) -> DataFrame:
+    """(ordinal, source, index, epoch): a replay window in which the last ``length`` of every ``period`` draws come from a pulse source, and the others go on with the cycle where it was."""
+    if not 0 < length < period or pulse not in sizes:
+        raise ValueError("a pulse must be shorter than its period, and its source have a size")
+    rows = spark.range(start, stop).select(F.col("id").alias("ordinal"), F.expr(f"id div {period}").alias("p"), (F.col("id") % period).alias("at"))
+    inside = F.col("at") >= period - length
+    rows = rows.withColumn("k", F.when(inside, F.col("p") * length + F.col("at") - (period - length)).otherwise(F.col("p") * (period - length) + F.col("at")))
+    pulses = rows.where(inside).select("ordinal", F.lit(pulse).alias("source"), (F.col("k") % sizes[pulse]).alias("index"), F.floor(F.col("k") / sizes[pulse]).alias("epoch"))
+    plain = rows.where(~inside).select("ordinal", "k")
+    last = -(-stop // period) * (period - length)
+    base = replay_window(spark, cycle, sizes, 0, max(1, last)).withColumnRenamed("ordinal", "k")
+    return plain.join(base, "k").select("ordinal", "source", "index", "epoch").unionByName(pulses)
