@@ -86,22 +86,35 @@ def quality_text(text: Column) -> Column:
     return strip(unix_lines(text))
 
 
+def _clean_reason(clean: Column, min_chars: int, max_control_ratio: float, max_repetition_ratio: float) -> Column:
+    size = F.greatest(F.lit(1), F.length(clean))
+    controls = F.length(clean) - F.length(F.translate(clean, CONTROLS, ""))
+    broken = F.length(clean) - F.length(F.translate(clean, "\ufffd", ""))
+    return (
+        F.when(F.length(clean) < min_chars, "too_short")
+        .when(controls / size > max_control_ratio, "control_characters")
+        .when(broken / size > 0.001, "replacement_characters")
+        .when(repetition_ratio(clean) > max_repetition_ratio, "repetitive")
+        .otherwise("")
+    )
+
+
 def quality_reason(text: Column, min_chars: int = 200, max_chars: int = 2_000_000, max_control_ratio: float = 0.01, max_repetition_ratio: float = 0.35) -> Column:
     """The first reason to reject a text, empty if there is none. The raw length is looked at before anything is copied."""
+    of = lambda clean: _clean_reason(clean, min_chars, max_control_ratio, max_repetition_ratio)
+    return F.when(text.isNull(), "missing_text").when(F.length(text) > max_chars, "too_long").otherwise(let(quality_text(text), of))
+
+
+def quality_facts(text: Column, min_chars: int = 200, max_chars: int = 2_000_000, max_control_ratio: float = 0.01, max_repetition_ratio: float = 0.35) -> Column:
+    """A struct of reason, digest (of the cleaned text, white space collapsed), clean_sha and chars (of the cleaned text): the text is cleaned once. Null and too long texts have a reason only."""
 
     def of(clean: Column) -> Column:
-        size = F.greatest(F.lit(1), F.length(clean))
-        controls = F.length(clean) - F.length(F.translate(clean, CONTROLS, ""))
-        broken = F.length(clean) - F.length(F.translate(clean, "\ufffd", ""))
-        return (
-            F.when(F.length(clean) < min_chars, "too_short")
-            .when(controls / size > max_control_ratio, "control_characters")
-            .when(broken / size > 0.001, "replacement_characters")
-            .when(repetition_ratio(clean) > max_repetition_ratio, "repetitive")
-            .otherwise("")
-        )
+        reason = _clean_reason(clean, min_chars, max_control_ratio, max_repetition_ratio)
+        return F.struct(reason.alias("reason"), F.sha2(collapse(clean), 256).alias("digest"), F.sha2(clean, 256).alias("clean_sha"), F.length(clean).cast("bigint").alias("chars"))
 
-    return F.when(text.isNull(), "missing_text").when(F.length(text) > max_chars, "too_long").otherwise(let(quality_text(text), of))
+    none = lambda kind: F.lit(None).cast(kind)
+    only = lambda reason: F.struct(F.lit(reason).alias("reason"), none("string").alias("digest"), none("string").alias("clean_sha"), none("bigint").alias("chars"))
+    return F.when(text.isNull(), only("missing_text")).when(F.length(text) > max_chars, only("too_long")).otherwise(let(quality_text(text), of))
 
 
 def content_digest(text: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import text as X
 from grainmill.functions.canonical import canonical_json
-from grainmill.operators import conversations, freeze, governance, metrics, mixture, packing, schedules, selection
+from grainmill.operators import conversations, freeze, governance, imports, metrics, mixture, packing, schedules, selection
 from grainmill.operators import toolcalls as T
+from grainmill.plans.conversations import _H
 from grainmill.sources import readers, sinks
 from grainmill.sources.shared import new_folder
 from grainmill.sources.tables import table, texts
@@ -252,7 +253,57 @@ def pool_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(record["rows"], record["distinct"], record["fingerprint"] == mark["fingerprint"])], "rows bigint, distinct bigint, same boolean")
 
 
-QUERIES = [prompt_rows, masked_names, tool_scores, document_scores, paired_documents, task_floors, clean_rates, suite_report, mixture_budgets, mixture_admission, mixture_acquired, mixture_readiness, corpus_freeze, denylist_freeze, action_templates, widened, confirmatory_split, shuffled, mined_traces, record_texts, shard_groups, canonical_props, byte_totals, training_pairs, stage_budget, assignments_round_trip, source_turns, labels_shortened, suites_missing, slot_overlap, pool_fingerprint]
+def imported_histories(spark: SparkSession, sf: str) -> DataFrame:
+    """The days as records of call lists, some broken: how many turns and calls of each outcome come in."""
+    rows = _days(spark, sf).withColumn("n", F.size("calls"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("calls", lambda c: F.concat(c["name"], F.lit("(k="), F.get_json_object(c["arguments"], "$.k"), F.lit(")"))), ", "), F.lit("]"))
+    said = F.when(F.col("n") % 5 == 0, F.lit("I won't.")).otherwise(listed)
+    turn = lambda who, what: F.struct(F.lit(who).alias("from"), what.alias("value"))
+    value = F.to_json(F.struct(F.array(turn("user", F.col("key")), turn("assistant", said), turn("tool", F.lit("{}")), turn("assistant", F.lit("done"))).alias("conversations")))
+    found = imports.imported(rows.select(F.when(F.col("n") == 7, F.substring(value, 1, 20)).otherwise(value).alias("value")), "call_list_history")
+    calls = F.aggregate("messages", F.lit(0), lambda a, m: a + F.coalesce(F.size(m["tool_calls"]), F.lit(0)))
+    return found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("turns"), F.coalesce(F.sum(calls), F.lit(0)).alias("calls"))
+
+
+def enriched_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations at all levels of enrichment: rows, turns, and requests that were changed."""
+    out = imports.enriched(_episodes(spark, sf), "key", seed=3)
+    changed = F.get("messages", F.lit(0))["content"] != F.concat(F.lit('Do "'), F.col("key"), F.lit('" now'))
+    return out.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("messages")).alias("turns"), F.count_if(changed).alias("changed"))
+
+
+def exported_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as browsing dialogues: a prompt-only case for each user turn."""
+    rows = table(spark, sf, "conversations").withColumn("s", F.when(F.col("role") == "user", "instructor").otherwise("navigator"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "s", F.coalesce("text", F.lit("")).alias("t")))), lambda r: F.struct(F.lit("chat").alias("type"), r["s"].alias("speaker"), r["t"].alias("utterance")))
+    records = rows.groupBy("conv_id").agg(turns.alias("turns")).select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("demo"), "turns")).alias("value"))
+    return imports.prompt_cases(records, "dialogue_cases").select("source_case_id", F.sha2("prompt", 256).alias("prompt"))
+
+
+def coverage_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """The quota order of the conversations' turns, with its strata spread over all of it."""
+    rows = table(spark, sf, "conversations").withColumn("h", F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256))
+    ordered = selection.quota_order(rows, ["role", "turn"], "h").select("conv_id", "turn", F.col("position").alias("rank"))
+    strata = rows.select("role", "turn").distinct().count()
+    return schedules.spread_coverage(ordered, "rank", strata, rows.count()).select("conv_id", "turn", "position")
+
+
+def pulsed_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Two languages in a cycle of three, interrupted by a third one for four of every twenty draws."""
+    sizes = {r.lang: r.n for r in table(spark, sf, "documents").where("lang IN ('de', 'en', 'fr')").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = schedules.pulsed(spark, ["en", "fr", "en"], sizes, "de", 20, 4, 0, 3000)
+    return out.select("ordinal", "source", F.col("index").cast("bigint").alias("row_index"), F.col("epoch").cast("bigint").alias("epoch"))
+
+
+def catalog_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as catalog entries with mistakes: what is wrong with them."""
+    k = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    rows = table(spark, sf, "documents").select("source").distinct()
+    entries = rows.select(F.col("source").alias("id"), F.when(k % 5 == 0, "sea").otherwise("web").alias("family"), F.concat(F.when(k % 7 == 0, "http").otherwise("https"), F.lit("://example.org/"), "source").alias("source_url"), F.when(k % 3 == 0, "gated").otherwise("public_download").alias("access"), F.when(k % 2 == 0, "train").otherwise("eval_only").alias("policy"), F.when(k % 11 == 0, "unknown").otherwise("mit").alias("license"))
+    return governance.catalog_problems(entries, ["web"])
+
+
+QUERIES = [imported_histories, enriched_levels, exported_prompts, coverage_spread, pulsed_replay, catalog_check, prompt_rows, masked_names, tool_scores, document_scores, paired_documents, task_floors, clean_rates, suite_report, mixture_budgets, mixture_admission, mixture_acquired, mixture_readiness, corpus_freeze, denylist_freeze, action_templates, widened, confirmatory_split, shuffled, mined_traces, record_texts, shard_groups, canonical_props, byte_totals, training_pairs, stage_budget, assignments_round_trip, source_turns, labels_shortened, suites_missing, slot_overlap, pool_fingerprint]
 
 _CALL = """'{"arguments":{"k":' || regexp_extract(props, '[0-9]+') || '},"name":"' || event_type || '"}'"""
 _DAYS = f"""d AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS key, string_agg('<tool_call>' || {_CALL} || '</tool_call>', '' ORDER BY event_id) AS calls, string_agg(event_type, ',' ORDER BY event_id) AS called, count(*) AS n, list_sort(list_distinct(list(event_type))) AS names FROM events GROUP BY 1),
@@ -262,6 +313,12 @@ _MIX = "s AS (SELECT source AS name, row_number() OVER (ORDER BY source) - 2 AS
 _FOLDED = r"array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), ' ')"
 
 ORACLES = {
+    "imported_histories": "WITH d AS (SELECT count(*) AS n FROM events GROUP BY user_id, ts::DATE) SELECT CASE WHEN n = 7 THEN 'json' WHEN n % 5 = 0 THEN 'record' END AS problem, count(*) AS n, CASE WHEN any_value(n) = 7 OR any_value(n) % 5 = 0 THEN 0 ELSE 4 * count(*) END AS turns, CASE WHEN any_value(n) = 7 OR any_value(n) % 5 = 0 THEN 0 ELSE sum(n)::BIGINT END AS calls FROM d GROUP BY 1",
+    "enriched_levels": "WITH d AS (SELECT DISTINCT user_id, ts::DATE FROM events), n AS (SELECT count(*) AS n FROM d) SELECT range::INT AS level, n, CASE WHEN range = 3 THEN 2 ELSE 4 END * n AS turns, CASE WHEN range = 0 THEN 0 ELSE n END AS changed FROM n, range(4)",
+    "exported_prompts": "WITH l AS (SELECT conv_id, turn, role, row_number() OVER w - 1 AS k, string_agg(CASE WHEN role = 'user' THEN 'instructor' ELSE 'navigator' END || ': ' || coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id || '/' || k AS source_case_id, sha256(p) AS prompt FROM l WHERE role = 'user'",
+    "coverage_spread": f"WITH a AS (SELECT *, {_H} AS h, sha256(role || '|' || turn) AS s, count(*) OVER (PARTITION BY role, turn) AS n, row_number() OVER (PARTITION BY role, turn ORDER BY {_H}) - 1 AS k FROM conversations), o AS (SELECT conv_id, turn, row_number() OVER (ORDER BY CASE WHEN k = 0 THEN -1.0 ELSE (2 * k - 1) / (2.0::DOUBLE * (n - 1)) END, CASE WHEN k = 0 THEN n ELSE 0 END, CASE WHEN k = 0 THEN s ELSE sha256(s || '|' || h) END, h) - 1 AS r FROM a), t AS (SELECT count(*) AS t, (SELECT count(DISTINCT s) FROM a) AS c FROM a), p AS (SELECT range AS r, (2 * range + 1) * t // (2 * c) AS position FROM t, range(c)), f AS (SELECT range AS position, row_number() OVER (ORDER BY range) - 1 + any_value(c) OVER () AS r FROM t, range(t) WHERE range NOT IN (SELECT position FROM p)) SELECT conv_id, turn, position FROM o JOIN (SELECT r, position FROM p UNION ALL SELECT r, position FROM f) USING (r)",
+    "pulsed_replay": "WITH n AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), o AS (SELECT range AS ordinal, range // 20 AS p, range % 20 AS a FROM range(3000)), k AS (SELECT ordinal, a >= 16 AS pulse, CASE WHEN a >= 16 THEN p * 4 + a - 16 ELSE p * 16 + a END AS k FROM o), d AS (SELECT ordinal, CASE WHEN pulse THEN 'de' WHEN k % 3 = 1 THEN 'fr' ELSE 'en' END AS source, CASE WHEN pulse THEN k WHEN k % 3 = 1 THEN k // 3 ELSE k // 3 * 2 + (k % 3 = 2)::INT END AS i FROM k) SELECT ordinal, source, i % size AS row_index, i // size AS epoch FROM d JOIN n ON lang = source",
+    "catalog_check": "WITH s AS (SELECT DISTINCT source AS id, regexp_extract(source, '[0-9]+')::INT AS k FROM documents) SELECT id, CASE WHEN k % 5 = 0 THEN 'family' WHEN k % 7 = 0 THEN 'url' WHEN k % 2 = 0 AND k % 3 = 0 THEN 'access' ELSE 'license' END AS problem FROM s WHERE k % 5 = 0 OR k % 7 = 0 OR k % 6 = 0 OR k % 22 = 0",
     "prompt_rows": f"WITH {_DAYS}, r AS (SELECT key, 1::BIGINT AS message_index, catalog || '<|end|>' || asked || '<|assistant|>' AS prompt, calls AS body FROM c UNION ALL SELECT key, 3, catalog || '<|end|>' || asked || '<|assistant|>' || calls || '<|end|><|tool|><tool_response>ok</tool_response><|assistant|>', n || ' done' FROM c) SELECT key, message_index, sha256(prompt) AS prompt, sha256(body) AS body, strlen(prompt) AS prompt_bytes, strlen(body) + 7 AS loss_bytes FROM r",
     "masked_names": f"WITH {_DAYS}, o AS (SELECT *, '9:' || key || ':' || sha256(catalog || chr(29) || asked || chr(30) || '<|assistant|>' || calls || '<|end|>' || chr(30) || '<|tool|><tool_response>ok</tool_response>' || chr(30) || '<|assistant|>' || n || ' done<|end|>') AS own FROM c), v AS (SELECT *, unnest([1, 2]) AS variant FROM o WHERE ('0x' || substr(sha256(own), 1, 8))::BIGINT < 2147483648), a AS (SELECT *, list_transform(names, lambda x, i: 'fn_' || substr(sha256(own || ':' || variant), 1, 12) || '_' || lpad((i - 1)::VARCHAR, 3, '0')) AS alias FROM v) SELECT key, variant, array_to_string(alias, ',') AS catalog, array_to_string(list_transform(string_split(called, ','), lambda x: alias[list_position(names, x)]), ',') AS calls FROM a",
     "tool_scores": """WITH e AS (SELECT user_id, ts::DATE AS day, event_id, event_type AS name, event_type || '|' || regexp_extract(props, '[0-9]+') AS call, event_type || '|' || CASE WHEN event_id % 7 = 0 THEN 'x' ELSE regexp_extract(props, '[0-9]+') END AS said, event_id % 5 <> 0 AS told FROM events),

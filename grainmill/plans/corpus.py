@@ -41,10 +41,8 @@ def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """What the text is judged to be, in narrow columns, computed once: later steps don't move texts."""
-    docs = quality.with_reason(texts(spark, sf)).withColumn("clean", X.quality_text(F.col("text")))
-    docs = docs.select("doc_id", "lang", "source", "reason", X.collapse(F.col("clean")).alias("flat"), "clean")
-    docs = docs.select("doc_id", "lang", "source", "reason", F.sha2("flat", 256).alias("digest"), F.sha2("clean", 256).alias("clean_sha"), F.length("clean").cast("bigint").alias("chars"))
-    return similarity.parquet_checkpoint(spark)(docs)
+    docs = texts(spark, sf).select("doc_id", "lang", "source", X.quality_facts(F.col("text")).alias("f"))
+    return similarity.parquet_checkpoint(spark)(docs.select("doc_id", "lang", "source", "f.*"))
 
 
 def quality_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
