@@ -252,6 +252,8 @@ OR regexp_matches(text[1:16384], '(?m)^\s*(def|class|import|from|function|interf
     "decontam_short": f"WITH b AS (SELECT item_id, array_to_string(w[1:3], ' ') AS m FROM (SELECT item_id, {TOKENS % (FOLD % 'text')} AS w FROM benchmark)), t AS (SELECT doc_id, array_to_string({TOKENS % (FOLD % 'text')}, ' ') AS t FROM documents) SELECT item_id, count(*) AS n FROM t JOIN b ON contains(t, m) WHERE m <> '' GROUP BY item_id",
     "decontam_screen": f"WITH {_ITEMS} SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits) GROUP BY lang",
     "near_dup_pairs": f"WITH {REASONS}, {_KEPT}, {_SETS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS j FROM f a JOIN f b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, b, round(j, 6) AS jaccard FROM p WHERE j >= 0.7",
+    "near_dup_survivors": f"WITH RECURSIVE {REASONS}, {_KEPT}, {_SETS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS j FROM f a JOIN f b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= 0.5), n AS (SELECT doc_id, row_number() OVER (ORDER BY length(clean) DESC, sha256(clean), doc_id, source) AS k FROM kept WHERE doc_id IN (SELECT a FROM p UNION SELECT b FROM p)), e AS (SELECT greatest(x.k, y.k) AS k, list(least(x.k, y.k)) AS early FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b GROUP BY 1), g(k, stays) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.k, CASE WHEN list_has_any(coalesce(e.early, []), g.stays) THEN g.stays ELSE list_append(g.stays, n.k) END FROM g JOIN n ON n.k = g.k + 1 LEFT JOIN e ON e.k = n.k) SELECT doc_id FROM n WHERE NOT list_contains((SELECT stays FROM g ORDER BY k DESC LIMIT 1), k)",
+    "pack_rows": f"WITH RECURSIVE {_SPLIT % (17, '0.2')}, o AS (SELECT split, ('0x' || substr(sha256('pack:' || doc_id), 1, 8))::BIGINT % 16 AS grp, strlen(coalesce(text, ''))::BIGINT AS n, row_number() OVER (PARTITION BY split, ('0x' || substr(sha256('pack:' || doc_id), 1, 8))::BIGINT % 16 ORDER BY -length(text), doc_id) AS k FROM s JOIN documents USING (doc_id)), z(split, grp, k, l, rows, tokens) AS (SELECT DISTINCT split, grp, 0::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT FROM o UNION ALL SELECT split, grp, k, CASE WHEN n = 0 THEN l WHEN n <= 2047 - l1 THEN l1 + n + 1 ELSE 2 + m - fill * 2046 END, rows + e + CASE WHEN n <= 2047 - l1 THEN 0 ELSE 1 + fill END, tokens + e * l + CASE WHEN n <= 2047 - l1 THEN 0 ELSE 2048 * (1 + fill) END FROM (SELECT *, n - (2047 - l1) AS m, (n - (2047 - l1) - 1) // 2046 AS fill FROM (SELECT z.split, z.grp, o.k, z.l, z.rows, z.tokens, o.n, CASE WHEN o.n > 0 AND z.l >= 2047 THEN 1 ELSE 0 END AS e, CASE WHEN o.n > 0 AND z.l >= 2047 THEN 1 ELSE z.l END AS l1 FROM z JOIN o ON o.split = z.split AND o.grp = z.grp AND o.k = z.k + 1) a) b) SELECT split, grp, rows + (l > 1)::INT AS rows, tokens + CASE WHEN l > 1 THEN l ELSE 0 END AS tokens FROM z QUALIFY row_number() OVER (PARTITION BY split, grp ORDER BY k DESC) = 1",
     "split_assignment": f"WITH {_SPLIT % (17, '0.2')} SELECT doc_id, split FROM s",
     "frozen_split": f"WITH {_SPLIT % (5, '0.1')} SELECT split, count(*) AS n FROM s GROUP BY split",
     "split_audit": f"WITH {_SPLIT % (17, '0.2')}, a AS (SELECT identity, min(split) AS lo, max(split) AS hi FROM s GROUP BY 1), b AS (SELECT document_sha256, min(split) AS lo, max(split) AS hi, count(*) AS n FROM s GROUP BY 1) SELECT (SELECT count(*) FROM a) AS identities, (SELECT count(*) FROM a WHERE lo <> hi) AS in_two_splits, (SELECT count(*) FROM b WHERE n > 1) AS repeated_content, (SELECT count(*) FROM b WHERE lo <> hi) AS content_in_two_splits",
