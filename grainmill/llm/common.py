@@ -26,10 +26,10 @@ def session(df: DataFrame) -> SparkSession:
     Plans take these settings when they run, after an operator has returned, so they are not put back; a setting that the caller has made stays.
     """
     spark = df.sparkSession
-    for name, spark_own, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
-        found = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
-        if found is None or found == spark_own or spark_own is None and int(re.sub(r"\D", "", found) or 0) > ours:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(ours))
+    made = spark.conf.getAll
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if f"spark.sql.execution.arrow.{name}" not in made:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
     return spark
 
 
