@@ -199,7 +199,7 @@ class CachedEncoder:
     so does everything with another tokenizer.
     """
 
-    CACHE, CACHE_CHARACTERS = 1_200_000, 16 << 20
+    CACHE, CACHE_CHARACTERS = 1_200_000, 64 << 20
     PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
     NOT_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
     SPACED = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
