@@ -230,42 +230,139 @@ class CachedEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def ids_of(self, segments: list[str]) -> list[bytes]:
+        """The packed ids of distinct segments; new ones go to the library, and what was known is forgotten where the bounds ask for it."""
+        found = list(map(self.known.get, segments))
+        new = [x for x, ids in zip(segments, found, strict=True) if ids is None]
+        if not new:
+            return found
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > self.CACHE or self.characters + size > self.CACHE_CHARACTERS:
+            self.known, self.characters = {}, 0
+        self.characters += size
+        made: list[bytes] = []
+        for i in range(0, len(new), 20_000):
+            made += self._encode(new[i : i + 20_000])
+        self.known.update(zip(new, made, strict=True))
+        fresh = iter(made)
+        return [next(fresh) if ids is None else ids for ids in found]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts whose characters are all plain: segments are found, told apart and put together as arrays."""
+        raw = [t.encode() for t in texts]
+        data = b"".join(raw)
+        ends = np.cumsum([len(r) for r in raw])
+        starts = plain_segments(np.frombuffer(data, np.uint8), ends)
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        parts = pa.Array.from_buffers(pa.string(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self.ids_of(parts.dictionary.to_pylist()), pa.binary()).take(parts.indices)
+        if isinstance(ids, pa.ChunkedArray):
+            ids = ids.combine_chunks()
+        packed, at = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        packed = packed.to_pybytes() if packed else b""
+        cuts = at[np.searchsorted(starts, np.concatenate([[0], ends]))].tolist() if len(starts) else [0] * (len(texts) + 1)
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text, with the end id."""
         out: list[bytes] = [b""] * len(texts)
-        parts: dict[int, list[str]] = {}
-        whole = []
+        plain, parts, whole = [], {}, []
         for k, text in enumerate(texts):
             if not self.split or any(a in text for a in self.added):
                 whole.append(k)
             elif not self.NOT_PLAIN.search(text):
-                parts[k] = self.PLAIN.findall(text)
+                plain.append(k)
             elif not self.ODD.search(text):
                 parts[k] = self.SPACED.findall(text)
             else:
                 whole.append(k)
-        every = set().union(*parts.values())
-        new = list(every.difference(self.known))
-        if len(self.known) + len(new) > self.CACHE or self.characters + sum(map(len, new)) > self.CACHE_CHARACTERS:
-            self.known, self.characters = {}, 0
-            new = list(every)
-        self.characters += sum(map(len, new))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.known.update(zip(some, self._encode(some), strict=True))
-        for k, segments in parts.items():
-            out[k] = b"".join(map(self.known.__getitem__, segments)) + self.end
+        held, size = [], 0
+        for k in plain:
+            held.append(k)
+            size += len(texts[k])
+            if size >= PLAIN_CHARACTERS or k == plain[-1]:
+                for j, ids in zip(held, self._plain([texts[j] for j in held]), strict=True):
+                    out[j] = ids + self.end
+                held, size = [], 0
+        if parts:
+            distinct = list(set().union(*parts.values()))
+            known = dict(zip(distinct, self.ids_of(distinct), strict=True))
+            for k, segments in parts.items():
+                out[k] = b"".join(map(known.__getitem__, segments)) + self.end
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids + self.end
         return out
 
 
+#: Characters of plain texts that are cut into segments at a time.
+PLAIN_CHARACTERS = 8 << 20
+#: Classes of bytes in plain texts: letters (and all bytes beyond ASCII), digits, white space, others.
+_LETTER, _DIGIT, _SPACE, _OTHER = range(4)
+_CLASS = np.array([_SPACE if b in b" \t\n\r" else _DIGIT if 48 <= b <= 57 else _LETTER if b >= 128 or chr(b).isalpha() else _OTHER for b in range(256)], np.uint8)
+
+
+def plain_segments(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the segments of the public split pattern begin in texts of plain characters, given as bytes end to end; ends of the texts, in order.
+
+    A run of letters, digits or other characters takes one space before it. Of white space before a run the last character stands alone, if it isn't that space, and the ones before it are a segment; white
+    space at a text's end is one. An apostrophe at the beginning of a run, without a space, and the letters of a contraction after it are a segment.
+    """
+    n = len(data)
+    if not n:
+        return np.empty(0, np.int64)
+    kind = _CLASS[data]
+    first = np.zeros(n + 1, bool)  # texts begin here
+    first[np.concatenate([[0], ends])] = True
+    run = first[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    start = run & (kind != _SPACE)
+    # the space before a run is its own
+    spaced = np.flatnonzero(start & ~first[:n])
+    spaced = spaced[data[spaced - 1] == 32]
+    start[spaced] = False
+    start[spaced - 1] = True
+    # white space: where a run of it begins, and its last character if a text goes on
+    begins = np.flatnonzero(run & (kind == _SPACE))
+    last = np.flatnonzero((kind == _SPACE) & np.append(run[1:], True))
+    goes_on = ~first[last + 1]
+    start[begins] = True
+    start[last[goes_on]] = True
+    # contractions
+    quote = np.flatnonzero(start & (data == 39))
+    quote = quote[quote + 1 < n]
+    quote = quote[~first[quote + 1]]
+    one = quote[np.isin(data[quote + 1], np.frombuffer(b"stmd", np.uint8))]
+    two = quote[quote + 2 < n]
+    two = two[~first[two + 2]]
+    pair = data[two + 1].astype(np.int32) << 8 | data[two + 2]
+    two = two[np.isin(pair, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])]
+    for at, width in ((one, 2), (two, 3)):
+        start[at + 1] = False
+        at = at[at + width < n]
+        start[at + width] = True
+    return np.flatnonzero(start)
+
+
 @lru_cache(maxsize=1)
 def encoder_for(path: str, end_id: int) -> CachedEncoder:
     """One for each worker process: tasks that follow one another share what it remembers."""
     return CachedEncoder(path, end_id)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of batches put together until they have so many characters."""
+    idents, texts, size = [], [], 0
+    for batch in batches:
+        idents += batch.column(0).to_pylist()
+        texts += batch.column(1).to_pylist()
+        size += sum(map(len, texts[len(texts) - batch.num_rows :]))
+        if size >= characters:
+            yield idents, texts
+            idents, texts, size = [], [], 0
+    if texts:
+        yield idents, texts
+
+
 def write_table(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> list[dict]:
     """Writes every row's token ids under path in ascending id order; returns and stores the manifest.
 
@@ -293,8 +390,7 @@ def write_table(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
             system.move(writer.name, f"{folder}/{name}")
             made.append((part, len(made), name, writer.begin, writer.end, writer.entries, writer.tokens, writer.at))
 
-        for batch in batches:
-            idents, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for idents, texts in gathered(batches, PLAIN_CHARACTERS):
             for ident, ids in zip(idents, encoder.encode(texts), strict=True):
                 if writer is None:
                     name = f"{folder}/_{uuid.uuid4().hex}.part"

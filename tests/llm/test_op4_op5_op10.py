@@ -171,6 +171,32 @@ def test_media_and_tokens_of_clashing_names(spark, clash, odd):
     assert plain(T.tokens_on_disk(more, path)) == plain(T.tokens_on_disk(odd, path)) and T.tokens_on_disk(more.limit(0), path).count() == 0
 
 
+def test_plain_segments_are_those_of_the_pattern():
+    random.seed(12)
+    pieces = [" ", "  ", "\n", "\t", "\r\n", "'", "'s", "'re", "'ll", "'v", "'ve", "a", "re", "Zé", "ß", "0", "42", "!", "...", "-", "s", "'t", "''", "é'd", " '", "ɏ"]
+    pattern = T.CachedEncoder.PLAIN
+    for _ in range(400):
+        texts = ["".join(random.choice(pieces) for _ in range(random.randrange(0, 14))) for _ in range(random.randrange(0, 6))]
+        raw = [t.encode() for t in texts]
+        data, ends = b"".join(raw), np.cumsum([len(r) for r in raw]).astype(np.int64)
+        at = [*T.plain_segments(np.frombuffer(data, np.uint8), ends).tolist(), len(data)]
+        assert [data[i:j].decode() for i, j in zip(at, at[1:], strict=False)] == [s for t in texts for s in pattern.findall(t)]
+
+
+@pytest.mark.parametrize("size", [1, 40, 4 << 20])
+def test_encoder_equals_the_library(monkeypatch, size):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(T, "PLAIN_CHARACTERS", size)
+    path = vocabulary("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), T.CachedEncoder(path, 2)
+    random.seed(13)
+    words = ["the", " and", "'s", "'re", "\n\n", "  ", "Übung", " été", "12", " 345", "...", " (x)", "\t", "a'll", "<|endoftext|>", "日本", "\u00a0", " ", "é"]
+    texts = ["", *("".join(random.choice(words[: random.choice((14, len(words)))]) for _ in range(random.randrange(40))) for _ in range(300))]
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2" if encoder.width == 2 else "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_remembered_segments_are_bounded_by_characters():
     encoder = T.CachedEncoder(vocabulary("byte_bpe_50k.json"), 2)
     encoder.CACHE_CHARACTERS = 5000
@@ -178,7 +204,7 @@ def test_remembered_segments_are_bounded_by_characters():
     first = encoder.encode(texts[:1])
     for t in texts:
         encoder.encode([t])
-        assert encoder.characters == sum(map(len, encoder.known)) <= 5000
+        assert encoder.characters == sum(map(len, encoder.known)) <= 5000 and len(encoder.known) > 0
     assert encoder.encode(texts[:1]) == first
 
 
