@@ -390,7 +390,7 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "
 
         # copies of a page, with the same host, share their list
         rows = rows.withColumn("p", F.xxhash64("host", "t"))
-        wanted = rows.select("t", "host", "p").mapInArrow(listed, "p bigint, k bigint").distinct().join(told, "k")
+        wanted = rows.select("t", "host", "p").mapInArrow(listed, "p bigint, k bigint").join(told, "k").distinct()
         wanted = wanted.groupBy("p").agg(F.collect_list(F.struct("k", "n")).alias("own"))
         rows = rows.join(wanted, "p", "left").select("i", "u", "t", "host", F.col("own.k").alias("ks"), F.col("own.n").alias("ns"))
     out = rows.mapInArrow(judged, f"i {kind}, u string, text string, n_chars bigint, n_blocks bigint, n_covered bigint, n_removed bigint")

@@ -3,7 +3,7 @@
 A text becomes the vector of its byte 2-grams and 3-grams (lower-cased; ASCII other than letters as spaces), hashed
 into DIMENSIONS counts, log-scaled, weighted by inverse document frequency and normalised. The classifier is fitted on a sample of
 labelled rows of bounded size, the only bound here: at most ``sample`` rows in all, and as many of each
-language as of any other, the ones with the smallest MD5 of their id. Each language's vectors are clustered by spherical
+language as of any other, the ones with the smallest MD5 of their id and text. Each language's vectors are clustered by spherical
 k-means from k-means++ seeds; a cluster with less than SHARE of its language's rows goes and its rows join the others, and so does a cluster in
 which another language prevails. Prediction covers whole texts of all rows: the language of the centroid with the largest cosine, the first by
 (language, number) of equal ones; the cosine is the score.
@@ -227,14 +227,16 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     """Learns from text and non-null language of learnable rows with a letter. ``sample`` rows are used; half as many again, and 16 of each language, may reach the
     driver, as packed counts of about 2 KB.
 
-    Rows that repeat an id are rows of their own; of equal hashes the smaller language and counts come first. Texts of any length are counted whole, in segments, without
+    Rows that repeat an id are rows of their own, rows that repeat id and text are one; of equal hashes the smaller language and counts come first. Texts of any length are counted whole, in segments, without
     clipping. No labelled rows give a model that answers 'und' and rejects everything. Other columns have no part in it, whatever their names.
     """
     session(docs)
     ident = field(docs, id_column)
-    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("")))
-    rows = docs.where(learnable(ident) & field(docs, lang_column).isNotNull() & field(docs, text_column).cast("string").rlike(r"\p{L}"))
-    rows = rows.select(field(docs, lang_column).cast("string").alias("l"), digest.alias("h"), field(docs, text_column).cast("string").alias("t"))
+    text = field(docs, text_column).cast("string")
+    digest = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))))
+    rows = docs.where(learnable(ident) & field(docs, lang_column).isNotNull())
+    rows = rows.select(field(docs, lang_column).cast("string").alias("l"), digest.alias("h"), text.alias("t"))
+    # no texts are read for this
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return fit_rows([])
@@ -242,7 +244,9 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     # the smallest hashes of a language lie below this share of the hash space, with room for chance: no sort, no window
     below = {lang: min(1 << 32, ((each + each // 2 + 16) << 32) // n) for lang, n in sizes.items()}
     bound = F.element_at(F.create_map(*(F.lit(x) for pair in below.items() for x in pair)), F.col("l"))
-    chosen = rows.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") < bound)
+    chosen = rows.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") < bound).where(F.col("t").rlike(r"\p{L}"))
+    # copies of a row, however many there are, are one before anything leaves a task
+    chosen = chosen.dropDuplicates(["l", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +260,8 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
         if taken[r.l] < each:
             taken[r.l] += 1
             found.append((r.l, r.h, bytes(r.c), bytes(r.p)))
+    if not found:
+        return fit_rows([])
     found.sort()
     raw, pieces = (np.stack([np.frombuffer(zlib.decompress(r[c]), "<u4") for r in found]).astype(np.float32) for c in (2, 3))
     return fit_counts([r[0] for r in found], raw, pieces, clusters)

@@ -113,6 +113,18 @@ def test_clusters_are_real(counted, seed):
     assert right[4] >= right[1] - 0.001 and right[4] > 0.99
 
 
+def test_a_hot_id_and_letterless_texts(spark):
+    """Rows that share an id are sampled apart, copies of a row count once, and labels without a letter teach nothing."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("some words of row "), F.col("id") % 3000).alias("text"), F.lit("en").alias("lang"))
+    learn = docs.where(G.learnable(F.col("doc_id")))
+    assert learn.count() == 4000 and G.fit(docs, sample=100).languages
+    same = docs.withColumn("text", F.lit("always the same words here"))
+    assert G.fit(same, sample=100).languages == ["en"]
+    assert G.fit(docs.withColumn("text", F.lit("12 34"))).languages == []
+
+
 def test_counts_are_of_the_whole_text():
     random.seed(1)
     text = "".join(random.choice("abc déf ") for _ in range(3000))
