@@ -236,8 +236,8 @@ def fit(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     digest = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))))
     rows = docs.where(learnable(ident) & field(docs, lang_column).isNotNull())
     rows = rows.select(field(docs, lang_column).cast("string").alias("l"), digest.alias("h"), text.alias("t"))
-    # no texts are read for this
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # copies of a row count once; to a few hundredths, for which there is room below
+    sizes = {r.l: max(1, r.n) for r in rows.groupBy("l").agg(F.approx_count_distinct("h", 0.03).alias("n")).collect()}
     if not sizes:
         return fit_rows([])
     each = max(2, sample // len(sizes))
