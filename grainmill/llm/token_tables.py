@@ -18,6 +18,7 @@ four. Shards hold ascending, disjoint ranges; ``_manifest.json`` lists them and
 from __future__ import annotations
 
 import bisect
+import ctypes
 import io
 import json
 import os
@@ -194,12 +195,12 @@ class CachedEncoder:
     That split is by a public pattern that doesn't look back. Where all characters of a text are ASCII or Latin letters, PLAIN
     is the same pattern with the character classes spelt out, and a segment is what the library merges in alone.
     Elsewhere SPACED cuts between a character and the white space after it, which no alternative of the pattern crosses.
-    Each distinct segment goes to the library once and is remembered, up to CACHE segments of CACHE_CHARACTERS in all. Texts with an
+    Each distinct segment goes to the library once and is remembered, up to CACHE segments of CACHE_CHARACTERS in all: beyond a half of either, those not asked for since the half before are forgotten. Texts with an
     added token's string, or with characters that libraries class differently as white space, go to the library whole, and
     so does everything with another tokenizer.
     """
 
-    CACHE, CACHE_CHARACTERS = 1_200_000, 64 << 20
+    CACHE, CACHE_CHARACTERS = 800_000, 32 << 20
     PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
     NOT_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
     SPACED = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -219,6 +220,7 @@ class CachedEncoder:
         self.width = 2 if max(self.lib.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         self.end = self.pack([end_id])
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.characters = 0
 
     def pack(self, ids: list[int]) -> bytes:
@@ -231,20 +233,25 @@ class CachedEncoder:
         return [self.pack(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids_of(self, segments: list[str]) -> list[bytes]:
-        """The packed ids of distinct segments; new ones go to the library, and what was known is forgotten where the bounds ask for it."""
+        """The packed ids of distinct segments; new ones go to the library."""
         found = list(map(self.known.get, segments))
-        new = [x for x, ids in zip(segments, found, strict=True) if ids is None]
-        if not new:
+        missing = [x for x, ids in zip(segments, found, strict=True) if ids is None]
+        if not missing:
             return found
-        size = sum(map(len, new))
-        if len(self.known) + len(new) > self.CACHE or self.characters + size > self.CACHE_CHARACTERS:
-            self.known, self.characters = {}, 0
-        self.characters += size
+        old = list(map(self.before.get, missing))
+        new = [x for x, ids in zip(missing, old, strict=True) if ids is None]
         made: list[bytes] = []
         for i in range(0, len(new), 20_000):
             made += self._encode(new[i : i + 20_000])
-        self.known.update(zip(new, made, strict=True))
         fresh = iter(made)
+        old = [next(fresh) if ids is None else ids for ids in old]
+        size = sum(map(len, missing))
+        if 2 * (len(self.known) + len(missing)) > self.CACHE or 2 * (self.characters + size) > self.CACHE_CHARACTERS:
+            self.before, self.known, self.characters = self.known, {}, 0
+        if 2 * len(missing) <= self.CACHE and 2 * size <= self.CACHE_CHARACTERS:
+            self.characters += size
+            self.known.update(zip(missing, old, strict=True))
+        fresh = iter(old)
         return [next(fresh) if ids is None else ids for ids in found]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -295,7 +302,7 @@ class CachedEncoder:
 
 
 #: Characters of plain texts that are cut into segments at a time.
-PLAIN_CHARACTERS = 8 << 20
+PLAIN_CHARACTERS = 4 << 20
 #: Classes of bytes in plain texts: letters (and all bytes beyond ASCII), digits, white space, others.
 _LETTER, _DIGIT, _SPACE, _OTHER = range(4)
 _CLASS = np.array([_SPACE if b in b" \t\n\r" else _DIGIT if 48 <= b <= 57 else _LETTER if b >= 128 or chr(b).isalpha() else _OTHER for b in range(256)], np.uint8)
@@ -349,6 +356,14 @@ def encoder_for(path: str, end_id: int) -> CachedEncoder:
     return CachedEncoder(path, end_id)
 
 
+def release() -> None:
+    """Gives memory that is free, in Arrow's pool and in the C library's heap, back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of batches put together until they have so many characters."""
     idents, texts, size = [], [], 0
@@ -409,6 +424,7 @@ def write_table(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         names = ("part", "number", "name", "first", "last", "rows", "tokens", "bytes")
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        release()
 
     shards = rows.mapInArrow(run, "part int, number int, name string, first binary, last binary, rows bigint, tokens bigint, bytes bigint").collect()
     manifest, start = [], 0
